@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackplume.functions.geo import bounding_box, box_gap_km, haversine_km
+from stackplume.session import ensure_checkpoint_dir
 
 # Powers of two, so that the cells nest exactly.  16 degrees gives at most 23 * 12 top cells on the whole globe.
 CELL_DEGREES = (16.0, 0.5, 0.015625)
@@ -89,10 +90,13 @@ def nearest_spots(points: DataFrame, sites: DataFrame, scoped: bool) -> DataFram
     )
 
 
-def nearest_site_join(readings: DataFrame, sites: DataFrame, site_key: str = "factory_id") -> DataFrame:
+def nearest_site_join(
+    readings: DataFrame, sites: DataFrame, site_key: str = "factory_id", keep_stations: bool = False
+) -> DataFrame:
     """Every reading with all columns of its nearest site and ``distance_to_nearest_station``.
 
-    Readings without coordinates drop out.  Where both sides have a column, the site's value wins.
+    Readings without coordinates drop out.  Where both sides have a column, the site's value wins.  With
+    ``keep_stations`` the small station-to-site table is checkpointed, for jobs that read the result several times.
     """
     stations = readings.select(
         F.lit(EVERYWHERE).alias("scope"), F.col("station_lat").alias("lat"), F.col("station_lon").alias("lon")
@@ -111,6 +115,9 @@ def nearest_site_join(readings: DataFrame, sites: DataFrame, site_key: str = "fa
             F.col("distance_km").alias("distance_to_nearest_station"),
         )
     )
+    if keep_stations:
+        ensure_checkpoint_dir(readings.sparkSession)
+        attached = attached.checkpoint()
     own = [c for c in readings.columns if c not in sites.columns]
     return readings.select(*own).join(attached, ["station_lat", "station_lon"])
 
