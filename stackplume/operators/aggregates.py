@@ -12,8 +12,12 @@ from stackplume.operators.quantiles import exact_medians, exact_quantiles
 
 def scalars(one_row: DataFrame, *names: str):
     """Columns of a one-row aggregate as a scalar subquery: nothing is joined or collected."""
-    packed = one_row.select(F.struct(*[F.col(n) for n in (names or one_row.columns)]).alias("s")).scalar()
-    return packed
+    return one_row.select(F.struct(*[F.col(n) for n in (names or one_row.columns)]).alias("s")).scalar()
+
+
+def attach(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
+    """The one-row aggregate as a struct column, so that it is planned once however often it is read."""
+    return df.withColumn(name, scalars(one_row))
 
 
 def impute_medians(df: DataFrame, columns: list[str] | None = None, key: str = "station_name") -> DataFrame:
@@ -23,8 +27,8 @@ def impute_medians(df: DataFrame, columns: list[str] | None = None, key: str = "
     renamed = medians.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
     filled = df.join(renamed, key, "left").withColumns({c: F.coalesce(c, f"_{c}") for c in columns})
     filled = filled.drop(*[f"_{c}" for c in columns])
-    overall = scalars(exact_medians(filled, columns))
-    return filled.withColumns({c: F.coalesce(F.col(c), overall[c]) for c in columns}).select(*df.columns)
+    overall = attach(filled, exact_medians(filled, columns), "_overall")
+    return overall.withColumns({c: F.coalesce(F.col(c), F.col(f"_overall.{c}")) for c in columns}).select(*df.columns)
 
 
 def city_stats(df: DataFrame) -> DataFrame:
@@ -59,10 +63,11 @@ def composite_target(df: DataFrame, name: str = "pollution_impact_score") -> Dat
 
 def spike_flag(df: DataFrame, column: str = "pm25", name: str = "pollution_spike_flag", limit: float = 2.5) -> DataFrame:
     """1 where the z-score over the whole table exceeds the limit; a zero spread counts as one."""
-    stats = scalars(df.agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("spread")))
-    spread = F.when(F.coalesce(stats["spread"], F.lit(0.0)) == 0, F.lit(1.0)).otherwise(stats["spread"])
-    z = (F.col(column) - stats["mean"]) / spread
-    return df.withColumn(name, F.coalesce((z > limit).cast("int"), F.lit(0)))
+    known = attach(df, df.agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("spread")), "_stats")
+    spread = F.col("_stats.spread")
+    spread = F.when(F.coalesce(spread, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(spread)
+    z = (F.col(column) - F.col("_stats.mean")) / spread
+    return known.withColumn(name, F.coalesce((z > limit).cast("int"), F.lit(0))).drop("_stats")
 
 
 def intensity_column(df: DataFrame) -> str:
@@ -83,16 +88,11 @@ def coordinate_columns(df: DataFrame) -> tuple[str, str]:
 def minmax_intensity(df: DataFrame, column: str | None = None) -> DataFrame:
     """Adds ``intensity_normalized``: NULL becomes the median, then min-max to [0, 1]; a constant column is 1."""
     column = column or intensity_column(df)
-    stats = scalars(
-        exact_quantiles(df, [column], [0.0, 0.5, 1.0]).select(
-            F.col("q0").alias("low"), F.col("q1").alias("middle"), F.col("q2").alias("high")
-        )
-    )
-    low, middle, high = (F.coalesce(stats[n], F.lit(0.0)) for n in ("low", "middle", "high"))
+    known = attach(df, exact_quantiles(df, [column], [0.0, 0.5, 1.0]).select("q0", "q1", "q2"), "_stats")
+    low, middle, high = (F.coalesce(F.col(f"_stats.{n}"), F.lit(0.0)) for n in ("q0", "q1", "q2"))
     value = F.coalesce(F.col(column), middle)
-    return df.withColumn(
-        "intensity_normalized", F.when(high == low, F.lit(1.0)).otherwise(F.try_divide(value - low, high - low))
-    )
+    scaled = F.when(high == low, F.lit(1.0)).otherwise(F.try_divide(value - low, high - low))
+    return known.withColumn("intensity_normalized", scaled).drop("_stats")
 
 
 def top_polluted_cities(df: DataFrame, k: int = 10) -> DataFrame:
@@ -330,11 +330,12 @@ def site_impact_view(dataset: DataFrame) -> DataFrame:
 def quantile_bins(df: DataFrame, column: str, name: str = "bin", parts: int = 5) -> DataFrame:
     """Right-closed quantile bins 0..parts-1; equal edges are merged; NULL stays NULL."""
     inner = [i / parts for i in range(1, parts)]
-    stats = scalars(exact_quantiles(df, [column], [0.0, *inner]))
-    edges = F.array_distinct(F.array(*[stats[f"q{i}"] for i in range(1, parts)]))
-    usable = F.filter(edges, lambda e: e > stats["q0"])
-    number = F.size(F.filter(usable, lambda e: F.col(column) > e))
-    return df.withColumn(name, F.when(F.col(column).isNotNull(), number))
+    known = attach(df, exact_quantiles(df, [column], [0.0, *inner]), "_edges")
+    edges = [F.col(f"_edges.q{i}") for i in range(parts)]
+    # An edge equal to the one before it is merged away.
+    above = [((edges[i] > edges[i - 1]) & (F.col(column) > edges[i])).cast("int") for i in range(1, parts)]
+    number = total(above)
+    return known.withColumn(name, F.when(F.col(column).isNotNull(), number)).drop("_edges")
 
 
 def time_split(df: DataFrame, index: str = "time_index", held_out: int = 6) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stackplume import constants as C
 from stackplume.functions import risk as rk
 from stackplume.functions.text import reading_key
-from stackplume.operators.aggregates import column_means, scalars
+from stackplume.operators.aggregates import attach, column_means, scalars
 from stackplume.operators.windows import first_per_key
 
 
@@ -45,8 +45,10 @@ def match_nearest(sites: DataFrame, readings: DataFrame, max_km: float = 100.0,
 def match_first(sites: DataFrame, readings: DataFrame, max_km: float = 100.0, tie: str = "event_id") -> DataFrame:
     """First-row variant, in time order; without distances every site gets the overall mean."""
     if "nearest_factory_distance_km" not in readings.columns or "city" not in readings.columns:
-        national = scalars(column_means(readings, C.POLLUTANTS))
-        return sites.select("*", *[national[p].alias(p) for p in C.POLLUTANTS], F.lit("national").alias("match_tier"))
+        known = attach(sites, column_means(readings, C.POLLUTANTS), "_national")
+        return known.select(
+            *sites.columns, *[F.col(f"_national.{p}").alias(p) for p in C.POLLUTANTS], F.lit("national").alias("match_tier")
+        )
     return match_readings(sites, readings, [F.col("timestamp"), F.col(tie)], max_km)
 
 

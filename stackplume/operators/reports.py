@@ -20,10 +20,7 @@ CSV_COLUMNS = [
 
 def assemble_reports(scored: DataFrame, generated_at: str, categories: Column | None = None) -> DataFrame:
     """Nested report per scored site; a missing score shows as 0.0 while its level stays Unknown."""
-    learned = rules.learned_actions(
-        categories if categories is not None else F.array().cast("array<string>"), F.col("dominant_pollutant")
-    )
-    actions = rules.merged_actions(rules.rule_actions(), learned)
+    actions = rules.merged_actions(categories)
     scores = [F.coalesce(f"{p}_score", F.lit(0.0)).alias(f"{p}_score") for p in C.SCORED_POLLUTANTS]
     with_actions = scored.withColumn("recommendations", actions)
     top = F.coalesce(F.try_element_at("recommendations", F.lit(1))["action"], F.lit("No specific recommendation available"))

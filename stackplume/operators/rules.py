@@ -1,12 +1,12 @@
 """Control actions from risk scores.
 
-The rule table is a fixed few dozen rows, so it travels as a constant array inside the expression: one narrow pass over
-the sites, no shuffle.
+The rule table is a fixed few dozen rows, so it becomes one array of conditional literals: a narrow pass over the
+sites, no join and no shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackplume import constants as C
@@ -22,45 +22,38 @@ def priority_rank(priority) -> Column:
     return F.when(p == "Immediate", 0).when(p == "Short-term", 1).when(p == "Long-term", 2).otherwise(3)
 
 
-def conditions() -> Column:
-    """Names of the rule conditions that hold for a scored site; a missing score holds none."""
+def flags() -> dict[str, Column]:
+    """Whether each rule condition holds for a scored site; a missing score holds none."""
     def high(name: str) -> Column:
         return F.coalesce(F.col(name) > HIGH_SCORE, F.lit(False))
 
-    flags = {p: high(f"{p}_score") for p in C.SCORED_POLLUTANTS}
-    several = total([f.cast("int") for f in flags.values()]) > 1
-    industry = F.lower(F.coalesce("industry_type", F.lit("")))
-    held = [
-        F.when(flags["so2"], F.lit("so2")),
-        F.when(flags["pm25"] | flags["pm10"], F.lit("pm")),
-        F.when(flags["pm10"], F.lit("pm10")),
-        F.when(flags["no2"], F.lit("no2")),
-        F.when(flags["co"], F.lit("co")),
-        F.when(flags["o3"], F.lit("o3")),
-        F.when(several | high("composite_score"), F.lit("multiple")),
-        F.concat(F.lit("level:"), F.col("risk_level")),
-        F.concat(F.lit("industry:"), lookup(C.INDUSTRY_RULE_GROUPS, industry, "other")),
-    ]
-    return F.array_compact(F.array(*held))
-
-
-def _weighted(action: dict[str, Column], weight: float) -> Column:
-    rank = priority_rank(action["priority"])
-    return F.struct(
-        (-(F.lit(weight) * (10 - rank))).alias("order_weight"),
-        rank.alias("order_rank"),
-        action["action"].alias("order_action"),
-        *[action[f].alias(f) for f in ACTION_FIELDS],
+    held = {p: high(f"{p}_score") for p in C.SCORED_POLLUTANTS}
+    several = total([f.cast("int") for f in held.values()]) > 1
+    group = lookup(C.INDUSTRY_RULE_GROUPS, F.lower(F.coalesce("industry_type", F.lit(""))), "other")
+    held["pm"] = held["pm25"] | held["pm10"]
+    held["multiple"] = several | high("composite_score")
+    for condition in {row[0] for row in C.RULES if ":" in row[0]}:
+        kind, name = condition.split(":")
+        held[condition] = F.col("risk_level") == name if kind == "level" else group == name
+    return held
+
+
+def _weight_order(row: tuple) -> tuple:
+    rank = {"Immediate": 0, "Short-term": 1, "Long-term": 2}.get(row[2], 3)
+    return (-C.RULE_WEIGHT * (10 - rank), rank, row[3])
+
+
+def rule_actions(ranked: bool = False) -> Column:
+    """Array of the rule actions that apply, in rule order or in rank order."""
+    held = flags()
+    rows = sorted(C.RULES, key=_weight_order) if ranked else C.RULES
+    return F.array_compact(
+        F.array(*[
+            F.when(held[row[0]], F.struct(*[F.lit(v).alias(n) for n, v in zip(C.RULE_COLUMNS[1:], row[1:])])) for row in rows
+        ])
     )
 
 
-def rule_actions() -> Column:
-    """Array of rule actions, each with its condition, in rule order."""
-    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(C.RULE_COLUMNS, row)]) for row in C.RULES])
-    held = conditions()
-    return F.filter(table, lambda r: F.array_contains(held, r["condition"]))
-
-
 def learned_actions(categories: Column, dominant: Column) -> Column:
     """Array of actions for learned category names."""
     def action(category: Column) -> Column:
@@ -74,21 +67,29 @@ def learned_actions(categories: Column, dominant: Column) -> Column:
             F.lit("2-6 months").alias("timeline"),
         )
 
-    return F.transform(F.coalesce(categories, F.array().cast("array<string>")), action)
+    names = F.array_sort(F.array_distinct(F.coalesce(categories, F.array().cast("array<string>"))))
+    return F.transform(names, action)
 
 
-def merged_actions(rule: Column, learned: Column) -> Column:
-    """Both kinds in rank order (weight, then priority, then text), repeated actions once."""
-    def weigh(weight: float):
-        return lambda a: _weighted({f: a[f] for f in ACTION_FIELDS}, weight)
+def merged_actions(categories: Column | None = None) -> Column:
+    """Rule actions and learned actions of a scored site by weight, then priority, then text, each once.
 
-    ranked = F.array_sort(F.concat(F.transform(rule, weigh(C.RULE_WEIGHT)), F.transform(learned, weigh(C.LEARNED_WEIGHT))))
+    The lowest rule weight (0.7 * 7) is above the highest learned weight (0.3 * 10), so the learned actions follow the
+    ranked rules; the rule table holds no action twice.
+    """
+    ranked = rule_actions(ranked=True)
+    if categories is None:
+        return ranked
+    return F.concat(ranked, learned_actions(categories, F.col("dominant_pollutant")))
 
-    def same(one: Column, two: Column) -> Column:
-        return (one["category"] == two["category"]) & (one["priority"] == two["priority"]) & (one["action"] == two["action"])
 
-    kept = F.filter(ranked, lambda a, i: ~F.exists(F.slice(ranked, F.lit(1), i), lambda b: same(a, b)))
-    return F.transform(kept, lambda a: F.struct(*[a[f].alias(f) for f in ACTION_FIELDS]))
+def merge_rank(actions: DataFrame) -> DataFrame:
+    """Rank of every action row of a site.  ``actions`` has ``origin`` (rule or learned) beside the action fields."""
+    rank = priority_rank("priority")
+    weight = F.when(F.col("origin") == "rule", F.lit(C.RULE_WEIGHT)).otherwise(F.lit(C.LEARNED_WEIGHT)) * (10 - rank)
+    order = Window.partitionBy("factory_id").orderBy(F.col("weight").desc(), "priority_rank", "action")
+    # A site has at most one row per rule and learned label.
+    return actions.withColumns({"weight": weight, "priority_rank": rank}).withColumn("position", F.row_number().over(order))
 
 
 def apply_rules(scored: DataFrame) -> DataFrame:
@@ -104,13 +105,13 @@ def dedupe_actions(actions: DataFrame, order: list) -> DataFrame:
 
 def action_labels() -> Column:
     """Action families a scored site needs, joined by a bar: the training label of the action recommender."""
-    held = conditions()
+    held = flags()
     pairs = [
         ("so2", "SO2_Control"), ("pm", "PM_Control"), ("no2", "NOx_Control"), ("co", "CO_Control"),
         ("o3", "O3_Control"), ("multiple", "Audit"),
     ]
     return F.array_join(
-        F.array_compact(F.array(*[F.when(F.array_contains(held, c), F.lit(label)) for c, label in pairs])), "|"
+        F.array_compact(F.array(*[F.when(held[c], F.lit(label)) for c, label in pairs])), "|"
     )
 
 
