@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stackplume import constants as C
 from stackplume.functions.numeric import clamp, total
 from stackplume.operators.quantiles import exact_medians, exact_quantiles
+from stackplume.session import ensure_checkpoint_dir
 
 
 def scalars(one_row: DataFrame, *names: str):
@@ -21,9 +22,13 @@ def attach(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
 
 
 def impute_medians(df: DataFrame, columns: list[str] | None = None, key: str = "station_name") -> DataFrame:
-    """NULL to the station's median; what is still NULL to the median of the column after that fill."""
+    """NULL to the station's median; what is still NULL to the median of the column after that fill.
+
+    The station medians (one row per station) are checkpointed, since both fills read them.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
     columns = columns or [c for c in [*C.POLLUTANTS, "aqi_index"] if c in df.columns]
-    medians = exact_medians(df, columns, [key])
+    medians = exact_medians(df, columns, [key]).checkpoint()
     renamed = medians.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
     filled = df.join(renamed, key, "left").withColumns({c: F.coalesce(c, f"_{c}") for c in columns})
     filled = filled.drop(*[f"_{c}" for c in columns])

@@ -88,11 +88,13 @@ def hashed_ranks(df: DataFrame, stratum: str, ids: list[str], seed: int) -> Data
         F.sum("_rows").over(by_stratum).alias("draw_size"),
     )
     within = Window.partitionBy(stratum, "_slice").orderBy("_draw", *ids)
+    renamed = offsets.withColumnsRenamed({stratum: "_stratum", "_slice": "_slice_2"})
+    same = F.col(stratum).eqNullSafe(F.col("_stratum")) & (F.col("_slice") == F.col("_slice_2"))
     return (
         drawn.withColumn("_position", F.row_number().over(within))
-        .join(offsets, [stratum, "_slice"])
+        .join(renamed, same)
         .withColumn("draw_rank", F.col("_offset") + F.col("_position"))
-        .drop("_draw", "_slice", "_offset", "_position")
+        .select(*df.columns, "draw_rank", "draw_size")
     )
 
 

@@ -9,8 +9,9 @@ from stackplume import constants as C
 from stackplume.functions.aqi import naive_aqi
 from stackplume.functions.numeric import lookup
 from stackplume.operators.aggregates import composite_target
+from stackplume.operators.matching import add_risk
 from stackplume.operators.nearest import nearest_distance_in_city, nearest_site_join
-from stackplume.plans.features import monthly_history
+from stackplume.plans.features import build_dataset, monthly_history
 from stackplume.plans.scoring import recommend, scored_sites
 from stackplume.session import ensure_checkpoint_dir
 
@@ -244,3 +245,14 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored sites (nearest-reading variant), stored."""
     ensure_checkpoint_dir(spark)
     return scored_sites(factories(spark, sf_dir), near_city(spark, sf_dir)).checkpoint()
+
+
+def ml_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training dataset, stored."""
+    ensure_checkpoint_dir(spark)
+    return build_dataset(readings(spark, sf_dir), factories(spark, sf_dir)).checkpoint()
+
+
+def scored_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every located reading with its site's industry and its own risk scores."""
+    return add_risk(nearest_site_join(readings(spark, sf_dir), factories(spark, sf_dir), keep_stations=True))
