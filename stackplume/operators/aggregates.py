@@ -12,13 +12,19 @@ from stackplume.session import ensure_checkpoint_dir
 
 
 def scalars(one_row: DataFrame, *names: str):
-    """Columns of a one-row aggregate as a scalar subquery: nothing is joined or collected."""
+    """Columns of a one-row aggregate as a scalar subquery inside the same query."""
     return one_row.select(F.struct(*[F.col(n) for n in (names or one_row.columns)]).alias("s")).scalar()
 
 
 def attach(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
-    """The one-row aggregate as a struct column, so that it is planned once however often it is read."""
-    return df.withColumn(name, scalars(one_row))
+    """The one-row aggregate as a constant struct column.
+
+    Only that one row of statistics reaches the driver.  Later steps then plan against constants instead of repeating
+    the whole lineage of the statistic at every use.
+    """
+    row = one_row.first()
+    fields = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in one_row.schema.fields]
+    return df.withColumn(name, F.struct(*fields))
 
 
 def impute_medians(df: DataFrame, columns: list[str] | None = None, key: str = "station_name") -> DataFrame:
@@ -62,8 +68,8 @@ def weighted_target() -> "F.Column":
 def composite_target(df: DataFrame, name: str = "pollution_impact_score") -> DataFrame:
     """Weighted pollutant sum over its 95th percentile, times ten, limited to [0, 10]; NULL if any part is NULL."""
     summed = df.withColumn("_sum", weighted_target())
-    p95 = scalars(exact_quantiles(summed, ["_sum"], [0.95]).select("q0"))
-    return summed.withColumn(name, clamp(F.try_divide(F.col("_sum"), p95["q0"]) * 10, 0, 10)).drop("_sum")
+    known = attach(summed, _one(exact_quantiles(summed, ["_sum"], [0.95]), 1), "_stats")
+    return known.withColumn(name, clamp(F.try_divide("_sum", "_stats.q0") * 10, 0, 10)).drop("_sum", "_stats")
 
 
 def spike_flag(df: DataFrame, column: str = "pm25", name: str = "pollution_spike_flag", limit: float = 2.5) -> DataFrame:
@@ -75,6 +81,11 @@ def spike_flag(df: DataFrame, column: str = "pm25", name: str = "pollution_spike
     return known.withColumn(name, F.coalesce((z > limit).cast("int"), F.lit(0))).drop("_stats")
 
 
+def _one(quantiles: DataFrame, count: int) -> DataFrame:
+    """Exactly one row of quantiles, NULL when there was no value at all."""
+    return quantiles.select(*[F.max(f"q{i}").alias(f"q{i}") for i in range(count)])
+
+
 def intensity_column(df: DataFrame) -> str:
     for name in ("aqi_index", "pm25", "pm10", "no2", "so2", "co"):
         if name in df.columns:
@@ -93,7 +104,7 @@ def coordinate_columns(df: DataFrame) -> tuple[str, str]:
 def minmax_intensity(df: DataFrame, column: str | None = None) -> DataFrame:
     """Adds ``intensity_normalized``: NULL becomes the median, then min-max to [0, 1]; a constant column is 1."""
     column = column or intensity_column(df)
-    known = attach(df, exact_quantiles(df, [column], [0.0, 0.5, 1.0]).select("q0", "q1", "q2"), "_stats")
+    known = attach(df, _one(exact_quantiles(df, [column], [0.0, 0.5, 1.0]), 3), "_stats")
     low, middle, high = (F.coalesce(F.col(f"_stats.{n}"), F.lit(0.0)) for n in ("q0", "q1", "q2"))
     value = F.coalesce(F.col(column), middle)
     scaled = F.when(high == low, F.lit(1.0)).otherwise(F.try_divide(value - low, high - low))
@@ -291,7 +302,7 @@ def confidence_stats(df: DataFrame, column: str = "confidence") -> DataFrame:
     stats = df.agg(
         F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max")
     )
-    middle = scalars(exact_quantiles(df, [column], [0.5]).select("q0"))
+    middle = scalars(_one(exact_quantiles(df, [column], [0.5]), 1))
     return stats.withColumn("median", middle["q0"])
 
 
@@ -335,7 +346,7 @@ def site_impact_view(dataset: DataFrame) -> DataFrame:
 def quantile_bins(df: DataFrame, column: str, name: str = "bin", parts: int = 5) -> DataFrame:
     """Right-closed quantile bins 0..parts-1; equal edges are merged; NULL stays NULL."""
     inner = [i / parts for i in range(1, parts)]
-    known = attach(df, exact_quantiles(df, [column], [0.0, *inner]), "_edges")
+    known = attach(df, _one(exact_quantiles(df, [column], [0.0, *inner]), parts), "_edges")
     edges = [F.col(f"_edges.q{i}") for i in range(parts)]
     # An edge equal to the one before it is merged away.
     above = [((edges[i] > edges[i - 1]) & (F.col(column) > edges[i])).cast("int") for i in range(1, parts)]

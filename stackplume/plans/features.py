@@ -13,27 +13,30 @@ from stackplume.operators.windows import rolling_means, stratified_split
 ROLLING = {"rolling_avg_pm25_7d": 7, "rolling_avg_pm25_30d": 30}
 
 
-def engineered(readings: DataFrame, sites: DataFrame, tie: str = "event_id") -> DataFrame:
-    """Nearest site, rolling means, spike flag, season, wind factor, industry weight and target."""
+def targeted(readings: DataFrame, sites: DataFrame) -> DataFrame:
+    """Nearest site, spike flag, season, wind factor, industry weight and target of every located reading."""
     joined = nearest_site_join(readings.where(F.col("timestamp").isNotNull()), sites, keep_stations=True)
-    flagged = composite_target(spike_flag(joined))
-    described = flagged.withColumns(
+    wind = F.col("wind_direction_factor") if "wind_direction_factor" in readings.columns else F.lit(1.0)
+    return composite_target(spike_flag(joined)).withColumns(
         {
             "season": season("timestamp"),
-            "wind_direction_factor": F.col("wind_direction_factor") if "wind_direction_factor" in readings.columns else F.lit(1.0),
+            "wind_direction_factor": wind,
             "industry_risk_weight": industry_weight("industry_type"),
         }
     )
-    return rolling_means(described, "factory_id", "timestamp", tie, "pm25", ROLLING)
 
 
 def build_dataset(readings: DataFrame, sites: DataFrame, tie: str = "event_id", seed: int = 42) -> DataFrame:
-    """Engineered rows with a stratified split; rows without a target are kept but in no split."""
-    rows = engineered(readings, sites, tie)
-    binned = quantile_bins(rows, "pollution_impact_score", "target_bin")
-    return stratified_split(binned, "target_bin", [tie], seed).withColumn(
+    """Training rows with rolling means and a stratified split; rows without a target are kept but in no split.
+
+    The statistics (deviation, percentile, bin edges) are taken first, over the few columns they need; the wide rows are
+    shuffled only for the split and for the rolling means.
+    """
+    binned = quantile_bins(targeted(readings, sites), "pollution_impact_score", "target_bin")
+    split = stratified_split(binned, "target_bin", [tie], seed).withColumn(
         "split", F.when(F.col("pollution_impact_score").isNotNull(), F.col("split"))
     )
+    return rolling_means(split, "factory_id", "timestamp", tie, "pm25", ROLLING)
 
 
 def monthly_history(dataset: DataFrame, step) -> DataFrame:

@@ -11,6 +11,7 @@ from stackplume.operators.aggregates import impute_medians, pivot_measurements
 from stackplume.operators.cleaning import clip_ranges, coerce_timestamp
 from stackplume.operators.nearest import nearest_distance_in_city
 from stackplume.operators.windows import first_per_key
+from stackplume.session import ensure_checkpoint_dir
 from stackplume.sources.payloads import parse_measurements, parse_open_records
 
 
@@ -40,4 +41,6 @@ def clean_readings(raw: DataFrame) -> DataFrame:
 
 
 def build_readings(readings: DataFrame, sites: DataFrame, order: list, threshold_km: float = 50.0) -> DataFrame:
-    return clean_readings(raw_readings(readings, sites, order, threshold_km))
+    """Raw and cleaned readings in one go.  The raw table is stored, because the two medians and the fill read it."""
+    ensure_checkpoint_dir(readings.sparkSession)
+    return clean_readings(raw_readings(readings, sites, order, threshold_km).checkpoint())
