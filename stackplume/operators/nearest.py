@@ -2,8 +2,8 @@
 
 Sites are first reduced to distinct coordinates and then rolled up into cells of three sizes, each with its bounding
 box.  A point starts with the (few) top cells and descends: per level it keeps only the cells whose box can still hold
-something nearer than the best site already guaranteed.  Every step is an equi-join on a cell key, so neither side is
-compared with everything on the other side, and dense cells are split by the next level.
+something nearer than the best site already guaranteed.  Every further step is an equi-join on a cell key, so neither
+side is compared with everything on the other side, and dense cells are split by the next level.
 """
 
 from __future__ import annotations
@@ -62,13 +62,31 @@ def nearest_spots(points: DataFrame, sites: DataFrame, scoped: bool) -> DataFram
     leaf = _rollup(boxed, ["scope", "c0", "c1", "c2"])
     middle = _rollup(leaf, ["scope", "c0", "c1"])
     top = _rollup(middle, ["scope", "c0"])
-    if not scoped:
-        # One scope: the table cannot exceed the number of top cells on the globe (276 rows).
-        top = F.broadcast(top)
+
+    # First level: at most 276 cells per scope, so they travel as one array and are judged inside the row.
+    listed = F.collect_list(F.struct("c0", "min_lat", "max_lat", "min_lon", "max_lon", "any_lon")).alias("cells")
+    if scoped:
+        start = wanted.join(top.groupBy("scope").agg(listed), "scope")
+    else:
+        start = wanted.withColumn("cells", top.agg(listed).scalar())
+    judged = start.withColumn(
+        "cells",
+        F.transform(
+            "cells",
+            lambda c: F.struct(
+                c["c0"].alias("c0"),
+                box_gap_km("lat", "lon", c["min_lat"], c["max_lat"], c["min_lon"], c["max_lon"]).alias("gap"),
+                haversine_km("lat", "lon", c["min_lat"], c["any_lon"]).alias("reach"),
+            ),
+        ),
+    ).withColumn("best", F.array_min(F.transform("cells", lambda c: c["reach"])))
+    candidates = judged.select(
+        "scope", "lat", "lon",
+        F.explode(F.transform(F.filter("cells", lambda c: c["gap"] <= F.col("best") + SLACK_KM), lambda c: c["c0"])).alias("c0"),
+    )
 
     point = Window.partitionBy("scope", "lat", "lon")
-    candidates = wanted
-    for cells, keys in ((top, ["scope"]), (middle, ["scope", "c0"]), (leaf, ["scope", "c0", "c1"])):
+    for cells, keys in ((middle, ["scope", "c0"]), (leaf, ["scope", "c0", "c1"])):
         measured = candidates.join(cells, keys).withColumns(
             {
                 "gap": box_gap_km("lat", "lon", "min_lat", "max_lat", "min_lon", "max_lon"),
