@@ -64,10 +64,11 @@ def risk_band_100(score) -> Column:
     )
 
 
-def normalise_score_100(score) -> Column:
-    """0-10 or 0-100 score to a whole 0-100 score; missing counts as 55."""
+def normalise_score_100(score, half_up: bool = False) -> Column:
+    """0-10 or 0-100 score to a whole 0-100 score; missing counts as 55.  Halves go to even, or up for the page view."""
     s = F.coalesce(column(score), F.lit(55.0))
-    return F.bround(F.when(s <= 10, s * 10).otherwise(s), 0).cast("bigint")
+    scaled = F.when(s <= 10, s * 10).otherwise(s)
+    return (F.floor(scaled + 0.5) if half_up else F.bround(scaled, 0)).cast("bigint")
 
 
 def current_score(score="pollution_impact_score", pm25="pm25") -> Column:

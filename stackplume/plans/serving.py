@@ -106,4 +106,19 @@ def plain_readings(readings: DataFrame, city: str | None = None, limit: int = 35
 
 
 def plain_sites(sites: DataFrame, city: str | None = None, limit: int = 500) -> DataFrame:
-    return ls.filter_city_exact(sites, city, limit, ["factory_id"])
+    number = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    kept = ls.filter_city_exact(sites, city, limit, ["factory_id"])
+    return kept.select(
+        "factory_id",
+        F.coalesce("factory_name", F.lit("Unknown Factory")).alias("factory_name"),
+        F.coalesce("industry_type", F.lit("industrial")).alias("industry_type"),
+        F.trim(F.coalesce("city", F.lit(""))).alias("city"),
+        F.coalesce("state", F.lit("")).alias("state"),
+        F.coalesce("country", F.lit("India")).alias("country"),
+        number("latitude"), number("longitude"),
+    )
+
+
+def plain_recommendation(ranked: DataFrame, factory_id: str) -> DataFrame:
+    """The plain row of one factory, or no row."""
+    return plain_recommendations(ranked.where(F.col("factory_id") == factory_id), limit=1)

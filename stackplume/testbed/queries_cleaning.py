@@ -300,10 +300,13 @@ def enforce_schema(spark, sf_dir):
 
 @query(
     "B27_normalize_score_100",
-    sql("readings", "SELECT event_id, CAST(round_even(CASE WHEN coalesce(pm25,55)<=10 THEN coalesce(pm25,55)*10 ELSE coalesce(pm25,55) END,0) AS BIGINT) AS score FROM readings"),
+    sql("readings", "SELECT event_id, CAST(round_even(s,0) AS BIGINT) AS score, CAST(floor(s+0.5e0) AS BIGINT) AS page_score FROM "
+        "(SELECT event_id, CASE WHEN coalesce(pm25,55)<=10 THEN coalesce(pm25,55)*10 ELSE coalesce(pm25,55) END AS s FROM readings)"),
 )
 def normalize_score_100(spark, sf_dir):
-    return Inputs(spark, sf_dir).readings.select("event_id", rk.normalise_score_100("pm25").alias("score"))
+    return Inputs(spark, sf_dir).readings.select(
+        "event_id", rk.normalise_score_100("pm25").alias("score"), rk.normalise_score_100("pm25", half_up=True).alias("page_score")
+    )
 
 
 @query(

@@ -331,3 +331,37 @@ def plain_recommendations(spark, sf_dir):
 def plain_readings(spark, sf_dir):
     out = serving.plain_readings(Inputs(spark, sf_dir).readings_aqi, "chennai")
     return out.select("event_id", "station_name", "city", "country", *r6(*C.POLLUTANTS, "aqi_index", "station_lat", "station_lon"))
+
+
+@query(
+    "P18_plain_sites",
+    sql("factories", "SELECT factory_id, factory_name, industry_type, city, state, country, " + s6("latitude longitude") + " FROM factories WHERE city='Pune' ORDER BY factory_id LIMIT 500"),
+)
+def plain_sites(spark, sf_dir):
+    out = serving.plain_sites(Inputs(spark, sf_dir).factories, "pune")
+    return out.withColumns({c: F.round(c, 6) for c in ("latitude", "longitude")})
+
+
+@query(
+    "P18_plain_recommendation_by_id",
+    sql("advice", f"SELECT factory_id, city, risk_level, {ADVICE_SQL} AS recommendation FROM advice WHERE factory_id=(SELECT min(factory_id) FROM advice)"),
+)
+def plain_recommendation(spark, sf_dir):
+    ranked = scoring.ranked_advice(Inputs(spark, sf_dir).dataset)
+    first = ranked.agg(F.min("factory_id")).first()[0]
+    return serving.plain_recommendation(ranked, first).select("factory_id", "city", "risk_level", "recommendation")
+
+
+@query(
+    "P16_dashboard_centre",
+    sql("advice", "SELECT round(avg(latitude),6) AS lat, round(avg(longitude),6) AS lon FROM advice"),
+)
+def dashboard_centre(spark, sf_dir):
+    t = Inputs(spark, sf_dir)
+    return mapping.dashboard_tables(t.readings_aqi, scoring.ranked_advice(t.dataset), ["event_id"])["centre"].select(*r6("lat", "lon"))
+
+
+@query("P14_confusion_matrix", sql("readings", "SELECT t AS true_class, count(*) FILTER (p='Low') AS pred_low, count(*) FILTER (p='Medium') AS pred_medium, "
+       "count(*) FILTER (p='High') AS pred_high FROM classed GROUP BY t", CLASSES))
+def classifier_confusion(spark, sf_dir):
+    return evaluation_tables(scored_pairs(spark, sf_dir))["confusion"]
