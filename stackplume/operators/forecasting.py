@@ -44,10 +44,10 @@ def time_encodings(year="year", month="month") -> dict[str, Column]:
     }
 
 
-def forecast_features(history: DataFrame) -> DataFrame:
+def forecast_features(history: DataFrame, past_only: bool = False) -> DataFrame:
     """Time encodings, growth factors and lags of a monthly history."""
     encoded = growth_and_urbanisation(history.withColumns(time_encodings()))
-    return lag_features(encoded, "factory_id", ["year", "month"], SCORE)
+    return lag_features(encoded, "factory_id", ["year", "month"], SCORE, past_only)
 
 
 def with_rolling_levels(history: DataFrame) -> DataFrame:

@@ -107,13 +107,17 @@ def stratified_split(
     return hashed_ranks(df, stratum, ids, seed).withColumn("split", split).drop("draw_rank", "draw_size")
 
 
-def lag_features(df: DataFrame, key: str, order: list[str], score: str) -> DataFrame:
-    """Lag 1, lag 3 and trailing 3-row mean of a monthly score (a key has at most twelve rows a year)."""
+def lag_features(df: DataFrame, key: str, order: list[str], score: str, past_only: bool = False) -> DataFrame:
+    """Lag 1, lag 3 and trailing 3-row mean of a monthly score (a key has at most twelve rows a year).
+
+    With ``past_only`` the mean covers the three rows before the current one, so that it cannot leak the score itself.
+    """
     ordered = Window.partitionBy(key).orderBy(*order)
+    trailing = F.avg(score).over(ordered.rowsBetween(-3, -1) if past_only else ordered.rowsBetween(-2, 0))
     return df.withColumns(
         {
             "score_lag_1": F.coalesce(F.lag(score, 1).over(ordered), F.col(score)),
             "score_lag_3": F.coalesce(F.lag(score, 3).over(ordered), F.col(score)),
-            "score_rolling_mean_3": F.avg(score).over(ordered.rowsBetween(-2, 0)),
+            "score_rolling_mean_3": F.coalesce(trailing, F.col(score)),
         }
     )
