@@ -1,7 +1,7 @@
 """Exact nearest-site search on a pyramid of grid cells.
 
-Sites are first reduced to distinct coordinates and then rolled up into cells of three sizes, each with its bounding
-box.  A point starts with the (few) top cells and descends: per level it keeps only the cells whose box can still hold
+Sites are first reduced to distinct coordinates and then rolled up into cells of three to six sizes, each with its
+bounding box.  A point starts with the (few) top cells and descends: per level it keeps only the cells whose box can still hold
 something nearer than the best site already guaranteed.  Every further step is an equi-join on a cell key, so neither
 side is compared with everything on the other side, and dense cells are split by the next level.
 """
@@ -17,7 +17,9 @@ from stackplume.functions.geo import bounding_box, box_gap_km, haversine_km
 from stackplume.session import ensure_checkpoint_dir
 
 # Powers of two, so that the cells nest exactly.  16 degrees gives at most 23 * 12 top cells on the whole globe.
-CELL_DEGREES = (16.0, 0.5, 0.015625)
+CELL_DEGREES = (16.0, 2.0, 1 / 4, 1 / 32, 1 / 256, 1 / 2048)
+FEWEST_LEVELS = 3
+CROWDED_CELL = 256
 SLACK_KM = 1e-6
 EVERYWHERE = "*"
 
@@ -39,6 +41,16 @@ def _rollup(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _levels(spots: DataFrame) -> int:
+    """Grid sizes to use: finer ones only while some cell of the last one is crowded with distinct coordinates."""
+    for depth in range(FEWEST_LEVELS, len(CELL_DEGREES)):
+        cell = _cell("site_lat", "site_lon", CELL_DEGREES[depth - 1])
+        fullest = spots.groupBy("scope", cell).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if fullest is None or fullest <= CROWDED_CELL:
+            return depth
+    return len(CELL_DEGREES)
+
+
 def nearest_spots(points: DataFrame, sites: DataFrame, scoped: bool) -> DataFrame:
     """Nearest site for every distinct point.
 
@@ -50,18 +62,22 @@ def nearest_spots(points: DataFrame, sites: DataFrame, scoped: bool) -> DataFram
         sites.where(F.col("site_lat").isNotNull() & F.col("site_lon").isNotNull())
         .groupBy("scope", "site_lat", "site_lon")
         .agg(F.min("site_key").alias("site_key"))
-        .select(
-            "*", *[_cell("site_lat", "site_lon", size).alias(f"c{i}") for i, size in enumerate(CELL_DEGREES)]
-        )
     )
-    boxed = spots.select(
-        "scope", "c0", "c1", "c2",
+    depth = _levels(spots)
+    cell_columns = [f"c{i}" for i in range(depth)]
+    spots = spots.select(
+        "*", *[_cell("site_lat", "site_lon", size).alias(c) for c, size in zip(cell_columns, CELL_DEGREES)]
+    )
+    table = spots.select(
+        "scope", *cell_columns,
         F.col("site_lat").alias("min_lat"), F.col("site_lat").alias("max_lat"),
         F.col("site_lon").alias("min_lon"), F.col("site_lon").alias("max_lon"), F.col("site_lon").alias("any_lon"),
     )
-    leaf = _rollup(boxed, ["scope", "c0", "c1", "c2"])
-    middle = _rollup(leaf, ["scope", "c0", "c1"])
-    top = _rollup(middle, ["scope", "c0"])
+    pyramid = []
+    for level in range(depth, 0, -1):
+        table = _rollup(table, ["scope", *cell_columns[:level]])
+        pyramid.insert(0, table)
+    top = pyramid[0]
 
     # First level: at most 276 cells per scope, so they travel as one array and are judged inside the row.
     listed = F.collect_list(F.struct("c0", "min_lat", "max_lat", "min_lon", "max_lon", "any_lon")).alias("cells")
@@ -86,21 +102,20 @@ def nearest_spots(points: DataFrame, sites: DataFrame, scoped: bool) -> DataFram
     )
 
     point = Window.partitionBy("scope", "lat", "lon")
-    for cells, keys in ((middle, ["scope", "c0"]), (leaf, ["scope", "c0", "c1"])):
-        measured = candidates.join(cells, keys).withColumns(
+    for level in range(1, depth):
+        measured = candidates.join(pyramid[level], ["scope", *cell_columns[:level]]).withColumns(
             {
                 "gap": box_gap_km("lat", "lon", "min_lat", "max_lat", "min_lon", "max_lon"),
                 "reach": haversine_km("lat", "lon", "min_lat", "any_lon"),
             }
         )
-        depth = [f"c{i}" for i in range(len(keys))]
         candidates = (
             measured.withColumn("best", F.min("reach").over(point))
             .where(F.col("gap") <= F.col("best") + SLACK_KM)
-            .select("scope", "lat", "lon", *depth)
+            .select("scope", "lat", "lon", *cell_columns[: level + 1])
         )
     return (
-        candidates.join(spots, ["scope", "c0", "c1", "c2"])
+        candidates.join(spots, ["scope", *cell_columns])
         .withColumn("distance_km", haversine_km("lat", "lon", "site_lat", "site_lon"))
         .groupBy("scope", "lat", "lon")
         .agg(F.min(F.struct("distance_km", "site_key")).alias("hit"))
