@@ -4,8 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stackplume.llm import mixing
-from stackplume.llm.common import table
+from stackplume.llm import fm_quality, mixing, simhash
+from stackplume.llm.common import held_out, table
+
+
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = fm_quality.train(documents, table(spark, sf_dir, "labels"))
+    scored = fm_quality.score(documents.select("doc_id", "text", "n_chars"), model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +25,8 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op10_mix_sources": op10_mix_sources,
 }
 
