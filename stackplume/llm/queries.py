@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stackplume.llm import fm_quality, mixing, simhash
+from stackplume.llm import fm_quality, mixing, simhash, toxicity
 from stackplume.llm.common import held_out, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    lexicon = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(documents.select("doc_id", "text"), lexicon)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,6 +32,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op10_mix_sources": op10_mix_sources,
