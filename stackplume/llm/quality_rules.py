@@ -187,18 +187,18 @@ def apply_rules(
     sample = training_labels(labels, "quality", per_class)
     measured = materialise(base_measures(labelled_texts(documents, sample), "doc_id", "y"))
     cutoffs = materialise(certified_cutoffs(measured, risk, delta))
-    # One row: a map of all certified cutoffs, at most len(MEASURES) for each of three strata.
-    bounds = cutoffs.groupBy().agg(
-        F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "stratum", "rule"), "cutoff"))).alias("_cutoffs")
-    )
-    judged = base_measures(documents, "doc_id").join(F.broadcast(bounds))
-    failed = F.filter(
-        F.array(*[
-            F.when(F.expr(m).cast("double") > F.element_at("_cutoffs", F.concat_ws(":", stratum(), F.lit(name))), F.lit(name))
-            for name, m in MEASURES.items()
-        ]),
-        lambda name: name.isNotNull(),
-    )
+    # At most one number for each rule and stratum, so they are written into the plan.
+    bounds: dict[str, dict[str, float]] = {name: {} for name in MEASURES}
+    for row in cutoffs.collect():
+        bounds[row["rule"]][row["stratum"]] = row["cutoff"]
+    judged = base_measures(documents, "doc_id")
+    checks = []
+    for name, of_stratum in bounds.items():
+        above = F.lit(False)
+        for where, cutoff in sorted(of_stratum.items()):
+            above = above | ((stratum() == where) & (F.expr(MEASURES[name]).cast("double") > cutoff))
+        checks.append(F.when(above, F.lit(name)))
+    failed = F.filter(F.array(*checks), lambda name: name.isNotNull())
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"), (~base_failed() & (F.size(failed) == 0)).alias("kept"),

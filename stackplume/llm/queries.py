@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stackplume.llm import decontaminate, fm_quality, html_extract, mixing, quality_rules, simhash, toxicity
+from stackplume.llm import decontaminate, fm_quality, html_extract, mixing, quality_rules, secrets_scan, simhash, toxicity
 from stackplume.llm.common import held_out, table
 
 
@@ -39,6 +39,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = secrets_scan.train(documents, table(spark, sf_dir, "labels"))
+    return secrets_scan.digest(secrets_scan.scan(documents.select("doc_id", "text"), model))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -51,6 +57,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_secret_scan": op8_secret_scan,
     "op10_mix_sources": op10_mix_sources,
 }
 
