@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stackplume.llm import decontaminate, fm_quality, html_extract, mixing, quality_rules, secrets_scan, simhash, suffix_dedup, toxicity
+from stackplume.llm import chunk_dedup, decontaminate, fm_quality, html_extract, mixing, quality_rules, secrets_scan, simhash, suffix_dedup, toxicity
 from stackplume.llm.common import held_out, table
 
 
@@ -49,6 +49,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.digest(secrets_scan.scan(documents.select("doc_id", "text"), model))
 
 
+def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.dedupe(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -63,6 +67,7 @@ QUERIES = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_secret_scan": op8_secret_scan,
+    "op9_chunk_dedup": op9_chunk_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
 
