@@ -56,3 +56,11 @@ def labelled_texts(documents: DataFrame, sample: DataFrame, *columns: str) -> Da
     The sample is bounded by its parameter, so it is sent to the scan instead of shuffling the texts.
     """
     return documents.select("doc_id", "text", *columns).join(F.broadcast(sample), "doc_id")
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores in front until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted

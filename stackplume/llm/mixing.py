@@ -1,9 +1,9 @@
 """Mixing sources to target weights by fitting the remaining budget of each source as a subset sum.
 
-Documents are counted by exact length.  Each source gets a target, whole copies are taken while they fit, and the rest
-of the budget is met by a subset of the documents: every length first gives its proportional share, the long ones then
-close the gap until it fits into the table of a bounded knapsack, and the knapsack finds the counts per length whose
-sum comes nearest to what is left.  Which documents of a length are taken is decided by a seeded hash.
+Documents are counted by exact length.  Each source gets a target, and every length first gives its proportional share
+of it; the long ones then close the gap until it fits into the table of a bounded knapsack, and the knapsack finds the
+counts per length whose sum comes nearest to what is left.  Which documents of a length are taken, or taken once more
+than the others, is decided by a seeded hash.
 
 Only (source, length) counts meet in one place; documents of one length are ranked within hash slices, so a length or a
 source that holds most rows is spread over many tasks.
@@ -66,25 +66,33 @@ def source_targets(
 def fit_budget(sizes: list[int], counts: list[int], budget: int, table_words: int = KNAPSACK_WORDS) -> list[int]:
     """How many documents of each size to take so that their words come nearest to ``budget`` from below.
 
-    Exact whenever the gap left by the proportional share fits into the table; sizes are positive.
+    Every size first gives its proportional share.  If the knapsack cannot close the gap that this leaves, it is tried
+    again with half the shares and with none, and the nearest result counts.  Sizes are positive.
     """
     total = sum(s * n for s, n in zip(sizes, counts))
     if budget <= 0 or total == 0:
         return [0] * len(sizes)
     if budget >= total:
         return list(counts)
-    taken = [n * budget // total for n in counts]
-    gap = budget - sum(s * t for s, t in zip(sizes, taken))
     longest_first = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    for i in longest_first:
-        if gap <= table_words:
+    best, least = [0] * len(sizes), budget
+    for divisor in (1, 2, None):
+        taken = [n * budget // (total * divisor) if divisor else 0 for n in counts]
+        gap = budget - sum(s * t for s, t in zip(sizes, taken))
+        for i in longest_first:
+            if gap <= table_words:
+                break
+            more = min(counts[i] - taken[i], (gap - table_words) // sizes[i] + 1, gap // sizes[i])
+            taken[i] += more
+            gap -= more * sizes[i]
+        for i, more in bounded_knapsack([(i, sizes[i], counts[i] - taken[i]) for i in longest_first], gap).items():
+            taken[i] += more
+            gap -= more * sizes[i]
+        if gap < least:
+            best, least = taken, gap
+        if least == 0:
             break
-        more = min(counts[i] - taken[i], (gap - table_words) // sizes[i] + 1, gap // sizes[i])
-        taken[i] += more
-        gap -= more * sizes[i]
-    for i, more in bounded_knapsack([(i, sizes[i], counts[i] - taken[i]) for i in longest_first], gap).items():
-        taken[i] += more
-    return taken
+    return best
 
 
 def bounded_knapsack(items: list[tuple[int, int, int]], budget: int) -> dict[int, int]:
@@ -115,23 +123,27 @@ def bounded_knapsack(items: list[tuple[int, int, int]], budget: int) -> dict[int
 
 
 def _fit_source(lengths: pd.DataFrame) -> pd.DataFrame:
-    """The counts of one source; ``lengths``: one row for each of its distinct lengths."""
+    """The counts of one source; ``lengths``: one row for each of its distinct lengths.
+
+    A document can be taken ``limit`` times.  ``whole``: copies of every document of a length, ``extra``: how many of
+    them are taken once more.
+    """
     lengths = lengths.sort_values("size", ignore_index=True)
     sizes, counts = lengths["size"].tolist(), lengths["n"].tolist()
-    source_size, target = int(lengths["source_size"].iloc[0]), float(lengths["target"].iloc[0])
-    whole = min(int(target // source_size), 2) if source_size else 0
-    lengths["whole"] = whole
-    lengths["extra"] = fit_budget(sizes, counts, round(target) - whole * source_size)
+    limit = int(lengths["limit"].iloc[0])
+    taken = fit_budget(sizes, [limit * n for n in counts], round(float(lengths["target"].iloc[0])))
+    lengths["whole"] = [t // n for t, n in zip(taken, counts)]
+    lengths["extra"] = [t % n for t, n in zip(taken, counts)]
     return lengths[["source", "size", "n", "whole", "extra", "source_size", "target"]]
 
 
 def mix(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, limit: int = 2, seed: int = 11) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for every row of ``documents``.
 
-    ``taken`` is 0, 1 or 2 times the size.  NULL sources form one source, NULL and wordless texts have size 0 and
+    ``taken`` is a multiple of the size, up to ``limit`` times.  NULL sources form one source, NULL and wordless texts have size 0 and
     take nothing, repeated rows count one by one, an empty table gives no rows.  Other columns are ignored.  Repeated
     runs take the same words from the same rows; among rows that are equal in every way either may be the one taken.
-    Needs limit <= 2.  Per source one task sees one row for each distinct length, never the documents.
+    Per source one task sees one row for each distinct length, never the documents.
     """
     slim = materialise(document_sizes(documents, seed))
     counted = slim.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
@@ -139,7 +151,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     same_source = F.col("c.source").eqNullSafe(F.col("t.source"))
     lengths = (
         counted.alias("c").join(targets.alias("t"), same_source).where("size > 0")
-        .select("c.source", "size", "n", "source_size", "target")
+        .select("c.source", "size", "n", "source_size", "target", F.lit(limit).alias("limit"))
     )
     plan = materialise(
         lengths.groupBy("source").applyInPandas(
@@ -148,7 +160,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     )
 
     # Only lengths of which some, but not all, documents are taken once more need an order.
-    partly = plan.where("extra > 0 AND extra < n")
+    partly = plan.where("extra > 0")
     sliced = slim.withColumn("_slice", F.shiftrightunsigned("_order", 64 - SLICE_BITS))
     per_slice = (
         sliced.groupBy("source", "size", "_slice").agg(F.count(F.lit(1)).alias("_rows")).alias("s")
@@ -175,10 +187,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
         "_extra", F.when(F.col("_quota").isNotNull(), (F.col("_quota") > 0).cast("int"))
     )
     chosen = ranked.unionByName(settled).select("doc_id", "source", "size", "_extra")
-    per_length = plan.select(
-        F.col("source").alias("_source"), F.col("size").alias("_size"), "whole",
-        (F.col("extra") == F.col("n")).cast("int").alias("_all"),
-    )
+    per_length = plan.select(F.col("source").alias("_source"), F.col("size").alias("_size"), "whole")
     with_counts = chosen.join(
         per_length,
         F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")), "left",
@@ -186,5 +195,5 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     named = targets.select(F.col("source").alias("_source"), "source_size", "target")
     return with_counts.join(named, F.col("source").eqNullSafe(F.col("_source")), "left").select(
         "doc_id", "source", "size", "source_size", "target",
-        (F.col("size") * (F.coalesce("whole", F.lit(0)) + F.coalesce("_extra", "_all", F.lit(0)))).cast("bigint").alias("taken"),
+        (F.col("size") * (F.coalesce("whole", F.lit(0)) + F.coalesce("_extra", F.lit(0)))).cast("bigint").alias("taken"),
     )

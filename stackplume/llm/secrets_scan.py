@@ -15,7 +15,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackplume.llm.common import labelled_texts, training_labels, whole_text
+from stackplume.llm.common import free_name, labelled_texts, training_labels, whole_text
 
 # The patterns of the base kinds, in the order in which equal starts are listed.
 ASSIGN = (
@@ -150,27 +150,33 @@ def random_spans(text: Column, ratios: list[float], least_ratio: float, least_ki
 
 
 def scan(documents: DataFrame, model: list[float], least_ratio: float = 0.5) -> DataFrame:
-    """All columns of ``documents`` with _spans: array of (start, kind, end), sorted by start and kind.
+    """All columns of ``documents`` with _base_spans and _spans: arrays of (start, kind, end), by start and kind.
 
     Kinds are numbered as in KINDS.  A random string that a base span overlaps is not added.  NULL texts count as
-    empty and have no spans; repeated rows get equal spans; an empty table gives no rows; a column named _spans is
-    replaced.
+    empty and have no spans; repeated rows get equal spans; an empty table gives no rows; columns with these
+    names are replaced.
     """
-    kept = documents.drop("_spans")
-    text = F.col("_text")
-    rows = kept.withColumn("_text", whole_text())
-    based = rows.withColumns({f"_{kind}": spans for kind, spans in base_spans(text).items()}).withColumn(
-        "_random", random_spans(text, model, least_ratio)
-    )
+    kept = documents.drop("_spans", "_base_spans")
+    names = {kind: free_name(kept, f"_{kind}") for kind in ("text", *KINDS, "base", "added")}
+    text = F.col(names["text"])
+    rows = kept.withColumn(names["text"], whole_text())
+    based = rows.withColumns({
+        **{names[kind]: spans for kind, spans in base_spans(text).items()},
+        names["random"]: random_spans(text, model, least_ratio),
+    })
 
     def listed(kind: str) -> Column:
-        return F.transform(f"_{kind}", lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end")))
-
-    base = F.concat(listed("assign"), listed("access"), listed("hex"))
-    more = based.withColumn("_base", base).withColumn(
-        "_added", F.filter(listed("random"), lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+        number = F.lit(KINDS.index(kind)).alias("kind")
+        return F.transform(names[kind], lambda s: F.struct(s["start"].alias("start"), number, s["end"].alias("end")))
+
+    base = F.concat(*[listed(kind) for kind in KINDS if kind != "random"])
+    overlaps = lambda r, b: (b["start"] < r["end"]) & (r["start"] < b["end"])
+    more = based.withColumn(names["base"], base)
+    more = more.withColumn(
+        names["added"], F.filter(listed("random"), lambda r: ~F.exists(names["base"], lambda b: overlaps(r, b)))
     )
-    return more.select(*kept.columns, F.array_sort("_base").alias("_base_spans"), F.array_sort(F.concat("_base", "_added")).alias("_spans"))
+    every = F.concat(names["base"], names["added"])
+    return more.select(*kept.columns, F.array_sort(names["base"]).alias("_base_spans"), F.array_sort(every).alias("_spans"))
 
 
 def _printed(spans: str) -> Column:
@@ -202,6 +208,8 @@ def redact(scanned: DataFrame, mark: str = "[secret]") -> DataFrame:
 
         return add
 
-    redone = scanned.withColumn("_cut", F.aggregate("_spans", start, cut(F.col("text"))))
-    text = F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.concat(F.col("_cut.done"), F.expr("substring(text, _cut.at + 1)")))
+    done = free_name(scanned, "_cut")
+    redone = scanned.withColumn(done, F.aggregate("_spans", start, cut(F.col("text"))))
+    rest = F.expr(f"substring(text, `{done}`.at + 1)")
+    text = F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.concat(F.col(f"{done}.done"), rest))
     return redone.withColumn("text", text).select(*names)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackplume.llm.common import materialise
+from stackplume.llm.common import free_name, materialise
 from stackplume.operators.clustering import connected_components
 
 BITS = 64
@@ -245,9 +245,11 @@ def keep_first(documents: DataFrame, budget: int = 3, shingle: int = 3) -> DataF
     It is the row with the smallest id, a row with a NULL id only where no other is there, and among rows that repeat
     the id the one that was read first.
     """
-    rows = materialise(with_fingerprints(documents, "_print", shingle).withColumn("_row", F.monotonically_increasing_id()))
-    named = attach_components(rows.select("doc_id", "_row", F.col("_print").alias("print")), budget, keep=["_component", "_row"])
+    a_print, a_row = free_name(documents, "_print"), free_name(documents, "_row")
+    rows = materialise(with_fingerprints(documents, a_print, shingle).withColumn(a_row, F.monotonically_increasing_id()))
+    slim = rows.select("doc_id", F.col(a_row).alias("_row"), F.col(a_print).alias("print"))
+    named = attach_components(slim, budget, keep=["_component", "_row"])
     first = named.groupBy("_component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_row"))["_row"].alias("_row")
     )
-    return rows.join(first.select("_row"), "_row", "left_semi").select(*documents.columns)
+    return rows.join(first.select(F.col("_row").alias(a_row)), a_row, "left_semi").select(*documents.columns)
