@@ -1,6 +1,6 @@
 """Substring de-duplication by content-defined chunks.
 
-A gear hash rolls over the bytes of a text, and a chunk ends where its top bits are zero, so where a chunk ends depends
+A gear hash rolls over the bytes of a text, and a chunk ends where it falls below a bound, so where a chunk ends depends
 on the bytes just before and an insertion shifts only the chunks around it.  Chunks are compared by digest over all
 documents; of equal chunks the first (smallest doc_id, then position) is kept.  Chunks are small, so that any passage of
 some fifty words holds several; since short chunks may be equal by chance, only runs of neighbouring repeated chunks
@@ -19,8 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: One chunk end in 2 ** CUT_BITS positions, beyond the least size.
-CUT_BITS = 4
+#: One chunk end in so many positions, beyond the least size.
+CUT_ONE_IN = 24
 LEAST_CHUNK = 16
 MOST_CHUNK = 512
 #: Bytes that the 32-bit gear hash remembers.
@@ -48,7 +48,7 @@ def chunk_ends(data: bytes) -> list[int]:
     hashes = gear_hashes(np.frombuffer(data, np.uint8))
     ends: list[int] = []
     last = 0
-    for end in [*(np.nonzero(hashes >> np.uint32(32 - CUT_BITS) == 0)[0] + 1).tolist(), len(data)]:
+    for end in [*(np.nonzero(hashes < np.uint32(2**32 // CUT_ONE_IN))[0] + 1).tolist(), len(data)]:
         while end - last > MOST_CHUNK:
             last += MOST_CHUNK
             ends.append(last)
@@ -58,16 +58,19 @@ def chunk_ends(data: bytes) -> list[int]:
     return ends
 
 
-CHUNK = "d1 long, d2 long, doc_id {id}, k long, at int, size int"
+CHUNK = "d1 long, d2 int, doc_id {id}, spot long"
 
 
 def _text_key(data: bytes) -> int:
-    value = xxhash.xxh3_64_intdigest(data)
-    return value - (1 << 64) if value >> 63 else value
+    """31 bits that tell texts with one doc_id apart."""
+    return xxhash.xxh3_64_intdigest(data) >> 33
 
 
 def chunks(documents: DataFrame) -> DataFrame:
-    """d1, d2 (digest), doc_id, k (key of the text), at and size of every chunk."""
+    """d1, d2 (digest of 96 bits), doc_id and spot (key of the text, then the position) of every chunk.
+
+    These rows are the bulk of what is shuffled, so they hold nothing else; sizes follow from the text.
+    """
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +78,7 @@ def chunks(documents: DataFrame) -> DataFrame:
         for rows in batches:
             for start in range(0, rows.num_rows, 128):
                 part = rows.slice(start, 128)
-                counts, keys, ends, begins, digests = [], [], [], [], []
+                counts, keys, begins, digests = [], [], [], []
                 for text in part.column(1).to_pylist():
                     data = (text or "").encode("utf-8", "replace")
                     stops = chunk_ends(data)
@@ -83,26 +86,25 @@ def chunks(documents: DataFrame) -> DataFrame:
                     view = memoryview(data)
                     digests += [digest(view[a:b]) for a, b in zip(starts, stops)]
                     begins += starts
-                    ends += stops
                     counts.append(len(stops))
                     keys.append(_text_key(data))
                 if not begins:
                     continue
                 owner = np.repeat(np.arange(len(counts)), counts)
                 both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                at = np.array(begins, np.int32)
+                spots = (np.array(keys, np.int64)[owner] << 32) | np.array(begins, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(both[:, 0]), pa.array(both[:, 1]), part.column(0).take(pa.array(owner)),
-                        pa.array(np.array(keys, np.int64)[owner]), pa.array(at), pa.array(np.array(ends, np.int32) - at),
+                        pa.array(both[:, 0]), pa.array((both[:, 1] >> 32).astype(np.int32)),
+                        part.column(0).take(pa.array(owner)), pa.array(spots),
                     ],
-                    ["d1", "d2", "doc_id", "k", "at", "size"],
+                    ["d1", "d2", "doc_id", "spot"],
                 )
 
     return documents.select("doc_id", "text").mapInArrow(cut, CHUNK.format(id=id_type))
 
 
-def dedupe(documents: DataFrame, least_bytes: int = 96) -> DataFrame:
+def dedupe(documents: DataFrame, least_bytes: int = 80) -> DataFrame:
     """doc_id, n_bytes, n_chunks, n_repeated, n_removed, n_spans, kept_sha256, first_docs, kept of every row.
 
     n_repeated: chunks that are equal to a chunk anywhere else; n_removed and n_spans: bytes and maximal runs cut out;
@@ -111,7 +113,7 @@ def dedupe(documents: DataFrame, least_bytes: int = 96) -> DataFrame:
     judged alike; a NULL doc_id comes last; an empty table gives no rows; other columns are ignored.
     """
     found = chunks(documents)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "at")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "spot")
     classes = (
         found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
         .where(~F.col("first").eqNullSafe(F.col("last")))
@@ -120,8 +122,9 @@ def dedupe(documents: DataFrame, least_bytes: int = 96) -> DataFrame:
     later = ~place.eqNullSafe(F.col("first"))
     repeated = (
         found.join(classes, ["d1", "d2"])
+        .select("doc_id", F.shiftright("spot", 32).alias("k"), F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at"), later.alias("later"), F.col("first.doc_id").alias("first_doc"))
         .groupBy("doc_id", "k")
-        .agg(F.collect_set(F.struct("at", "size", later.alias("later"), F.col("first.doc_id").alias("first_doc"))).alias("repeats"))
+        .agg(F.collect_set(F.struct("at", "later", "first_doc")).alias("repeats"))
         .select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "repeats")
     )
     id_type = documents.schema["doc_id"].dataType.simpleString()
@@ -148,7 +151,10 @@ def dedupe(documents: DataFrame, least_bytes: int = 96) -> DataFrame:
                 out: list[tuple] = []
                 for blob, repeats in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     data = unpacker.decompress(blob)
-                    out.append((len(data), len(chunk_ends(data)), *_cut(data, repeats or [], least_bytes)))
+                    ends = chunk_ends(data)
+                    end_of = dict(zip([0, *ends[:-1]], ends))
+                    sized = [{**r, "size": end_of[r["at"]] - r["at"]} for r in repeats or []]
+                    out.append((len(data), len(ends), *_cut(data, sized, least_bytes)))
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -220,7 +220,7 @@ def test_op9(spark, sf_dir, documents):
             {"at": a, "size": b - a, "later": min(places[data[a:b]]) != (i, a), "first_doc": min(places[data[a:b]])[0]}
             for a, b in spans if len(places[data[a:b]]) > 1
         ]
-        expected[i] = (len(data), len(spans), *chunk_dedup._cut(data, repeats, 96)[:5])
+        expected[i] = (len(data), len(spans), *chunk_dedup._cut(data, repeats, 80)[:5])
     got = {r[0]: tuple(r)[1:] for r in QUERIES["op9_chunk_dedup"](spark, sf_dir).collect()}
     assert got == expected
 
