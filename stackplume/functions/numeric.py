@@ -47,3 +47,26 @@ def ladder(value: Column, steps, last, strict: bool = False) -> Column:
     for bound, label in steps:
         expression = expression.when(value < bound if strict else value <= bound, F.lit(label))
     return expression.otherwise(F.lit(last))
+
+
+def printed(value, digits: int) -> Column:
+    """The number with ``digits`` (1 to 3) decimals; a printed tie is decided by the exact binary value, then half-even.
+
+    The fraction of a double is a whole number of 2**-52 from 1 on; below 1 what lies under that unit is carried along
+    and breaks ties upwards.  Whole-number arithmetic then decides exactly.  NULL prints as "null".
+    """
+    v = column(value)
+    unit, power = 1 << 52, 10**digits
+    whole = F.floor(F.abs(v))
+    exact = (F.abs(v) - whole) * F.lit(float(unit))
+    units = F.floor(exact)
+    under = (exact - units) * F.lit(float(power))
+    scaled = units * F.lit(power) + F.floor(under)
+    digit, rest = F.shiftright(scaled, 52), scaled.bitwiseAND(F.lit(unit - 1))
+    above = (rest > unit // 2) | ((rest == unit // 2) & ((under > F.floor(under)) | (digit % 2 == 1)))
+    total = whole * F.lit(power) + digit + above.cast("bigint")
+    text = F.concat(
+        F.when(v < 0, F.lit("-")).otherwise(F.lit("")), F.floor(total / power).cast("string"), F.lit("."),
+        F.lpad((total % power).cast("string"), digits, "0"),
+    )
+    return F.when(F.abs(v) < 1e12, text).otherwise(F.format_string(f"%.{digits}f", v))

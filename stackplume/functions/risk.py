@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stackplume import constants as C
-from stackplume.functions.numeric import clamp, column, ladder, lookup, total
+from stackplume.functions.numeric import clamp, column, ladder, lookup, printed, total
 from stackplume.functions.text import title_words
 
 
@@ -122,10 +122,10 @@ def control_measures(level) -> Column:
 
 def report_summary(name, level, score, top_action) -> Column:
     return F.format_string(
-        "%s is classified as %s risk with composite score %.2f. Top action: %s.",
+        "%s is classified as %s risk with composite score %s. Top action: %s.",
         F.coalesce(column(name), F.lit("Factory")),
         F.coalesce(column(level), F.lit("Unknown")),
-        F.coalesce(column(score), F.lit(0.0)),
+        printed(F.coalesce(column(score), F.lit(0.0)), 2),
         column(top_action),
     )
 

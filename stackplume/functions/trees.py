@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stackplume import constants as C
 from stackplume.functions.aqi import aqi_band_national
-from stackplume.functions.numeric import column, lookup
+from stackplume.functions.numeric import column, lookup, printed
 
 GASES = ("no2", "so2", "co")
 
@@ -97,23 +97,23 @@ def plan_notes() -> Column:
             whole("current_aqi"), whole("target_aqi"), aqi_band_national("target_aqi"),
         ),
         F.format_string(
-            "Impact zone radius: %.1f km (%.1f km² total area).", F.col("impact_radius_km"), F.col("impact_area_km2")
+            "Impact zone radius: %s km (%s km² total area).", printed("impact_radius_km", 1), printed("impact_area_km2", 1)
         ),
         F.format_string(
-            "Recommended planting: %d trees across %.2f ha (at %d trees/ha density).",
-            F.col("recommended_trees"), F.col("hectares"), F.lit(C.TREES_PER_HECTARE),
+            "Recommended planting: %d trees across %s ha (at %d trees/ha density).",
+            F.col("recommended_trees"), printed("hectares", 2), F.lit(C.TREES_PER_HECTARE),
         ),
         F.format_string(
-            "Annual CO₂ sequestration: %.1f t CO₂ (%s kg/tree/year at maturity).",
-            F.col("co2_tons"), F.lit(str(C.TREE_CO2_KG)),
+            "Annual CO₂ sequestration: %s t CO₂ (%s kg/tree/year at maturity).",
+            printed("co2_tons", 1), F.lit(str(C.TREE_CO2_KG)),
         ),
         F.format_string(
-            "Estimated AQI improvement after %d-year maturity: %.1f AQI points.",
-            F.lit(C.MATURITY_YEARS), F.col("aqi_drop"),
+            "Estimated AQI improvement after %d-year maturity: %s AQI points.",
+            F.lit(C.MATURITY_YEARS), printed("aqi_drop", 1),
         ),
         F.format_string(
-            "Dominant pollutant: %s — trees reduce %.1f AQI pts per 1 000 trees.",
-            F.upper("dominant_pollutant"), aqi_drop_rate("dominant_pollutant"),
+            "Dominant pollutant: %s — trees reduce %s AQI pts per 1 000 trees.",
+            F.upper("dominant_pollutant"), printed(aqi_drop_rate("dominant_pollutant"), 1),
         ),
         F.format_string("Feasibility: %s (%s).", F.col("feasibility"), detail),
     )

@@ -90,6 +90,12 @@ def flatten_trees(spark, model) -> list[dict]:
             "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
             F.col("nodeData.split.featureIndex").alias("feature"),
             F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("threshold"),
+            # A categorical split sends a set of categories to the left, kept as the bits of a number.
+            (F.col("nodeData.split.numCategories") > 0).alias("categorical"),
+            F.aggregate(
+                F.when(F.col("nodeData.split.numCategories") > 0, F.col("nodeData.split.leftCategoriesOrThreshold")).otherwise(F.array().cast("array<double>")),
+                F.lit(0).cast("bigint"), lambda bits, c: bits + F.pow(F.lit(2.0), c).cast("bigint"),
+            ).alias("left_categories"),
         )
         .toPandas()
     )
@@ -103,6 +109,8 @@ def flatten_trees(spark, model) -> list[dict]:
                 "right": part["rightChild"].to_numpy(np.int64),
                 "feature": np.maximum(part["feature"].to_numpy(np.int64), 0),
                 "threshold": part["threshold"].fillna(0.0).to_numpy(np.float64),
+                "categorical": part["categorical"].fillna(False).to_numpy(bool),
+                "left_categories": part["left_categories"].fillna(0).to_numpy(np.int64),
                 "value": part["prediction"].to_numpy(np.float64),
             }
         )
@@ -119,7 +127,9 @@ def evaluate_trees(trees: list[dict], x: np.ndarray) -> np.ndarray:
             inner = tree["left"][node] >= 0
             if not inner.any():
                 break
-            goes_left = x[rows, tree["feature"][node]] <= tree["threshold"][node]
+            value = x[rows, tree["feature"][node]]
+            in_set = (tree["left_categories"][node] >> value.astype(np.int64).clip(0, 62)) & 1 == 1
+            goes_left = np.where(tree["categorical"][node], in_set, value <= tree["threshold"][node])
             child = np.where(goes_left, tree["left"][node], tree["right"][node])
             node = np.where(inner, child, node)
         out += tree["weight"] * tree["value"][node]
@@ -133,10 +143,18 @@ def forecast_monthly(
     spark = sites.sparkSession
     forest = model.stages[-1]
     trees = flatten_trees(spark, forest)
+    # Only the categories that the forest asks for are shipped, however many cities there are.
+    base = len(NUMERIC)
+    asked = sorted({int(f) for t in trees for f, left in zip(t["feature"], t["left"]) if left >= 0 and f >= base})
+    place = {f: base + i for i, f in enumerate(asked)}
+    for tree in trees:
+        tree["feature"] = np.array([place.get(int(f), int(f) if f < base else 0) for f in tree["feature"]], np.int64)
     encoder = PipelineModel(model.stages[:-2])
+    hot = vector_to_array("categories")
+    categories = F.array(*[F.get(hot, f - base) for f in asked]).cast("array<double>")
     inputs = encoder.transform(growth_and_urbanisation(sites)).select(
         "factory_id", "current_score", "industry_growth", "city_urbanization",
-        vector_to_array("categories").alias("categories"),
+        categories.alias("categories"),
     )
     count = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     shrink = 0.7 if scenario == "with_interventions" else 1.0
@@ -149,8 +167,9 @@ def forecast_monthly(
             start = pdf["current_score"].to_numpy(np.float64)
             growth = pdf["industry_growth"].to_numpy(np.float64)
             urban = pdf["city_urbanization"].to_numpy(np.float64)
-            x = np.zeros((len(pdf), len(NUMERIC) + len(pdf["categories"].iloc[0])))
-            x[:, len(NUMERIC):] = np.vstack(pdf["categories"].to_numpy())
+            x = np.zeros((len(pdf), base + len(asked)))
+            if asked:
+                x[:, base:] = np.vstack(pdf["categories"].to_numpy())
             past = [start]
             scores = np.zeros((steps, len(pdf)))
             for m in range(steps):

@@ -7,9 +7,6 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_PAGE_SIZE = 200
-
-
 def filter_contains(df: DataFrame, text: str | None, name: str = "city", regex: bool = False) -> DataFrame:
     """Rows whose column contains the text in any case; with ``regex`` the text is a pattern."""
     if not text:
@@ -23,10 +20,11 @@ def filter_equal_text(df: DataFrame, text: str | None, name: str) -> DataFrame:
     return df if not text else df.where(F.lower(F.coalesce(F.col(name), F.lit(""))) == text.lower())
 
 
-def filter_city_exact(df: DataFrame, city: str | None, limit: int, order: list) -> DataFrame:
+def filter_city_exact(df: DataFrame, city: str | None, limit: int | None = None, order: list | None = None) -> DataFrame:
+    """Rows of a city, any case; with a limit the first so many in the given order."""
     if city:
         df = df.where(F.lower(F.trim(F.coalesce("city", F.lit("")))) == city.lower())
-    return df.orderBy(*order).limit(limit)
+    return df if limit is None else df.orderBy(*order).limit(limit)
 
 
 def filter_parameter_present(df: DataFrame, parameter: str | None) -> DataFrame:
@@ -53,15 +51,16 @@ def filter_recent_days(df: DataFrame, days: int, as_of: str | None = None, name:
 
 
 def paginate(df: DataFrame, page: int, page_size: int, order: list) -> DataFrame:
-    """One page in a total order; the page size is limited."""
-    size = min(page_size, MAX_PAGE_SIZE)
-    return df.orderBy(*order).offset((page - 1) * size).limit(size)
+    """One page in a total order."""
+    if page < 1 or page_size < 1:
+        raise ValueError("pages and page sizes count from one")
+    return df.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
 
 
 def page_after(df: DataFrame, score: str, key: str, last_score: float, last_key: str, page_size: int) -> DataFrame:
     """Next page after a known last row: deep pages without sorting what came before."""
     behind = (F.col(score) < last_score) | ((F.col(score) == last_score) & (F.col(key) > last_key))
-    return df.where(behind).orderBy(F.col(score).desc(), key).limit(min(page_size, MAX_PAGE_SIZE))
+    return df.where(behind).orderBy(F.col(score).desc(), key).limit(page_size)
 
 
 def with_total(page: DataFrame, source: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def exact_quantiles(
     picked = ranked.groupBy(*group, "n", "i", "position").agg(
         F.min(F.when(F.col("upto") > below, F.col("value"))).alias("v0"),
         F.min(F.when(F.col("upto") > above, F.col("value"))).alias("v1"),
-        missed.alias("missed"),
+        (missed | (F.max("upto") <= above)).alias("missed"),
     )
     quantile = F.when(F.col("missed"), F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")).otherwise(
         F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("position") - F.floor("position"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stackplume import constants as C
 from stackplume.functions import aqi, risk as rk
-from stackplume.functions.numeric import column, lookup
+from stackplume.functions.numeric import column, lookup, printed
 from stackplume.operators import rules
 from stackplume.operators.aggregates import coordinate_columns
 from stackplume.operators.windows import first_per_key
@@ -101,7 +101,7 @@ def _shown_text(value) -> Column:
 
 
 def _shown_number(value) -> Column:
-    return F.when(column(value).isNull(), F.lit("N/A")).otherwise(F.format_string("%.2f", column(value)))
+    return F.when(column(value).isNull(), F.lit("N/A")).otherwise(printed(value, 2))
 
 
 def station_markers(readings: DataFrame, order: list) -> DataFrame:
@@ -134,6 +134,6 @@ def site_markers(sites: DataFrame) -> DataFrame:
         "factory_id", "latitude", "longitude",
         lookup(C.RISK_COLOURS, level, C.DEFAULT_RISK_COLOUR).alias("colour"),
         rk.influence_radius_m(level).alias("influence_radius_m"),
-        "factory_name", "industry_type", F.format_string("%.2f", "pollution_impact_score").alias("score_text"),
+        "factory_name", "industry_type", printed("pollution_impact_score", 2).alias("score_text"),
         level.alias("risk_level"), "recommendation",
     )

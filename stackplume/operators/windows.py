@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stackplume.session import ensure_checkpoint_dir
+
 
 def first_per_key(df: DataFrame, keys: list, order: list) -> DataFrame:
     """First row of every key in an explicit order.
@@ -121,3 +123,24 @@ def lag_features(df: DataFrame, key: str, order: list[str], score: str, past_onl
             "score_rolling_mean_3": F.coalesce(trailing, F.col(score)),
         }
     )
+
+
+def number_in_order(df: DataFrame, order: list, name: str) -> DataFrame:
+    """All rows with their place in a total order, from 1: ranges are sorted side by side and offset by their sizes."""
+    ensure_checkpoint_dir(df.sparkSession)
+    placed = (
+        df.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select(
+            "*", F.spark_partition_id().alias("_part"),
+            F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"),
+        )
+        .checkpoint()
+    )
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    return (
+        placed.join(offsets, "_part").withColumn(name, (F.col("_offset") + F.col("_place") + 1).cast("bigint"))
+        .drop("_part", "_place", "_offset")
+    )

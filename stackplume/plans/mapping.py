@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stackplume.functions.numeric import printed
 from stackplume.operators import reports as rp
 from stackplume.operators.aggregates import (
     intensity_column, map_center, mean_center, minmax_intensity, timestamp_range, top_polluted_cities,
@@ -35,4 +36,4 @@ def dashboard_tables(readings: DataFrame, ranked: DataFrame, order: list) -> dic
 
 
 def city_labels(cities: DataFrame) -> DataFrame:
-    return cities.select("lat", "lon", F.concat("city", F.lit(" | AQI "), F.format_string("%.1f", "avg_aqi")).alias("label"))
+    return cities.select("lat", "lon", F.concat("city", F.lit(" | AQI "), printed("avg_aqi", 1)).alias("label"))

@@ -20,7 +20,7 @@ def list_sites(
     radius_km: float = 50.0,
 ) -> DataFrame:
     """One page of sites with their risk, and the total before paging."""
-    kept = ls.filter_contains(ls.filter_contains(sites, city, "city"), industry, "industry_type")
+    kept = ls.filter_contains(ls.filter_contains(sites, city, "city", regex=True), industry, "industry_type", regex=True)
     if centre:
         kept = radius_search(kept, centre[0], centre[1], radius_km, "latitude", "longitude")
     wanted = [
@@ -37,7 +37,7 @@ def list_readings(
     start: str | None = None, end: str | None = None, centre: tuple[float, float] | None = None, radius_km: float = 50.0,
     order: list | None = None,
 ) -> DataFrame:
-    kept = ls.filter_contains(readings, city, "city")
+    kept = ls.filter_contains(readings, city, "city", regex=True)
     kept = ls.filter_parameter_present(kept, parameter)
     kept = ls.filter_date_range(kept, start, end)
     if centre:
@@ -50,20 +50,20 @@ def list_reports(
     city: str | None = None,
 ) -> DataFrame:
     kept = ls.filter_equal_text(reports, risk_level, "risk_level")
-    kept = ls.filter_contains(ls.filter_contains(kept, industry, "industry_type"), city, "city")
+    kept = ls.filter_contains(ls.filter_contains(kept, industry, "industry_type", regex=True), city, "city", regex=True)
     order = [F.col("composite_score").desc(), F.col("factory_id")]
     return ls.with_total(ls.paginate(reports_to_summary(kept), page, page_size, order), kept)
 
 
 def recent_city_stats(readings: DataFrame, days: int = 30, as_of: str | None = None, city: str | None = None) -> DataFrame:
-    return city_stats(ls.filter_contains(ls.filter_recent_days(readings, days, as_of), city, "city"))
+    return city_stats(ls.filter_contains(ls.filter_recent_days(readings, days, as_of), city, "city", regex=True))
 
 
 def heatmap_query(
-    readings: DataFrame, parameter: str = "aqi_index", city: str | None = None, limit: int = 2000, seed: int = 42
+    readings: DataFrame, limit: int, parameter: str = "aqi_index", city: str | None = None, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """Sampled points and their metadata.  The sample is the feature: a map can draw only so many points."""
-    source = ls.filter_contains(readings, city, "city")
+    source = ls.filter_contains(readings, city, "city", regex=True)
     located = source.withColumns({"lat": F.col("station_lat"), "lon": F.col("station_lon")}).where(
         F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180) & F.col(parameter).isNotNull()
     )
@@ -73,7 +73,7 @@ def heatmap_query(
     return points, heatmap_metadata(source, points)
 
 
-def plain_recommendations(ranked: DataFrame, city: str | None = None, limit: int = 250) -> DataFrame:
+def plain_recommendations(ranked: DataFrame, city: str | None = None, limit: int | None = None) -> DataFrame:
     """Ranked factory rows with defaults for missing text and numbers."""
     number = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     kept = ls.filter_city_exact(ranked, city, limit, ["factory_id"])
@@ -96,7 +96,7 @@ def plain_recommendations(ranked: DataFrame, city: str | None = None, limit: int
     )
 
 
-def plain_readings(readings: DataFrame, city: str | None = None, limit: int = 350, order: list | None = None) -> DataFrame:
+def plain_readings(readings: DataFrame, city: str | None = None, limit: int | None = None, order: list | None = None) -> DataFrame:
     kept = ls.filter_city_exact(readings, city, limit, order or ["event_id"])
     numbers = ["pm25", "pm10", "co", "no2", "so2", "o3", "aqi_index", "station_lat", "station_lon"]
     return kept.select(
@@ -105,7 +105,7 @@ def plain_readings(readings: DataFrame, city: str | None = None, limit: int = 35
     )
 
 
-def plain_sites(sites: DataFrame, city: str | None = None, limit: int = 500) -> DataFrame:
+def plain_sites(sites: DataFrame, city: str | None = None, limit: int | None = None) -> DataFrame:
     number = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     kept = ls.filter_city_exact(sites, city, limit, ["factory_id"])
     return kept.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -25,12 +26,18 @@ def build_session(app_name: str = "stackplume", master: str | None = None, **con
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder of the session: the cluster's shared one if it names one, a scratch folder otherwise."""
+    """Checkpoint folder of the session: the shared one that ``spark.checkpoint.dir`` names.
+
+    A session on one machine may do without and gets a scratch folder; a cluster may not, since its executors cannot
+    see a folder of the driver.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not shared and not re.fullmatch(r"local(\[[^,\]]*(,\s*\d+)?\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = shared or tempfile.mkdtemp(prefix="stackplume-checkpoint-")
     context.setCheckpointDir(folder)
     return folder

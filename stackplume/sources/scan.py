@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stackplume.operators.windows import first_per_key
 
@@ -17,15 +18,29 @@ def scan_table(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
         reader = spark.read
         try:
             if path.rstrip("/").endswith(".parquet"):
-                return reader.parquet(path)
+                return with_schema(reader.parquet(path), schema)
             if path.rstrip("/").endswith(".json"):
                 return reader.schema(schema).json(path)
             return reader.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
-        except AnalysisException:
+        except PySparkException:
             continue
     return spark.createDataFrame([], schema)
 
 
+def with_schema(df: DataFrame, schema: str) -> DataFrame:
+    """The columns of ``schema`` in its types and order, NULL where the table has none; other columns follow."""
+    wanted = StructType.fromDDL(schema).fields
+    have = {c.lower(): c for c in df.columns}
+    named = {f.name.lower() for f in wanted}
+    return df.select(
+        *[
+            (F.col(have[f.name.lower()]) if f.name.lower() in have else F.lit(None)).try_cast(f.dataType).alias(f.name)
+            for f in wanted
+        ],
+        *[c for c in df.columns if c.lower() not in named],
+    )
+
+
 def first_nonempty(sources: list[tuple[str, DataFrame]]) -> DataFrame:
     """The first source with a row wins entirely and is tagged; later ones are not read."""
     for name, df in sources:

@@ -187,6 +187,14 @@ def list_reports(spark, sf_dir):
     return out.select("factory_id", "risk_level", *r6("composite_score"), "summary", "total")
 
 
+@query(
+    "P10_list_reports_by_pattern",
+    sql("reports", "SELECT factory_id, city, count(*) OVER () AS total FROM reports WHERE regexp_matches(lower(city),'pune|delhi') ORDER BY reports.composite_score DESC, factory_id LIMIT 25"),
+)
+def list_reports_by_pattern(spark, sf_dir):
+    return serving.list_reports(Inputs(spark, sf_dir).reports, 1, 25, city="Pune|Delhi").select("factory_id", "city", "total")
+
+
 @query(
     "P11_tree_plans",
     sql("reports", "SELECT factory_id, city, dominant AS dominant_pollutant, round(aqi,6) AS current_aqi, goal AS target_aqi, minimum_trees, recommended_trees, optimal_trees, "
@@ -247,7 +255,7 @@ _POINTS = "points AS (SELECT * FROM readings_aqi WHERE lower(city) LIKE '%a%' AN
     sql("readings_aqi", "SELECT event_id, round(station_lat,6) AS lat, round(station_lon,6) AS lon, round(pm25,6) AS intensity FROM points", _POINTS),
 )
 def heatmap_query(spark, sf_dir):
-    points, _ = serving.heatmap_query(Inputs(spark, sf_dir).readings_aqi, "pm25", city="a")
+    points, _ = serving.heatmap_query(Inputs(spark, sf_dir).readings_aqi, 2000, "pm25", city="a")
     return points.select("event_id", *r6("lat", "lon", "intensity"))
 
 
@@ -257,7 +265,7 @@ def heatmap_query(spark, sf_dir):
         "round(max(station_lat),6) AS max_lat, round(min(station_lon),6) AS min_lon, round(max(station_lon),6) AS max_lon FROM points", _POINTS),
 )
 def heatmap_query_metadata(spark, sf_dir):
-    _, metadata = serving.heatmap_query(Inputs(spark, sf_dir).readings_aqi, "pm25", city="a")
+    _, metadata = serving.heatmap_query(Inputs(spark, sf_dir).readings_aqi, 2000, "pm25", city="a")
     return metadata.select("row_count", "returned_points", *r6("min_lat", "max_lat", "min_lon", "max_lon"))
 
 
@@ -316,7 +324,7 @@ def city_day_index(spark, sf_dir):
 @query(
     "P18_plain_recommendations",
     sql("advice", "SELECT factory_id, city, risk_level, CAST(round_even(CASE WHEN pollution_impact_score<=10 THEN pollution_impact_score*10 ELSE pollution_impact_score END,0) AS BIGINT) AS pollution_score, "
-        f"round(latest_pm25,6) AS latest_pm25, {ADVICE_SQL} AS recommendation FROM advice ORDER BY factory_id LIMIT 250"),
+        f"round(latest_pm25,6) AS latest_pm25, {ADVICE_SQL} AS recommendation FROM advice"),
 )
 def plain_recommendations(spark, sf_dir):
     out = serving.plain_recommendations(scoring.ranked_advice(Inputs(spark, sf_dir).dataset))
@@ -326,7 +334,7 @@ def plain_recommendations(spark, sf_dir):
 @query(
     "P18_plain_readings",
     sql("readings_aqi", "SELECT event_id, station_name, city, country, " + ", ".join(f"round(coalesce({c},0e0),6) AS {c}" for c in [*C.POLLUTANTS, "aqi_index", "station_lat", "station_lon"])
-        + " FROM readings_aqi WHERE city='Chennai' ORDER BY event_id LIMIT 350"),
+        + " FROM readings_aqi WHERE city='Chennai'"),
 )
 def plain_readings(spark, sf_dir):
     out = serving.plain_readings(Inputs(spark, sf_dir).readings_aqi, "chennai")
@@ -335,7 +343,7 @@ def plain_readings(spark, sf_dir):
 
 @query(
     "P18_plain_sites",
-    sql("factories", "SELECT factory_id, factory_name, industry_type, city, state, country, " + s6("latitude longitude") + " FROM factories WHERE city='Pune' ORDER BY factory_id LIMIT 500"),
+    sql("factories", "SELECT factory_id, factory_name, industry_type, city, state, country, " + s6("latitude longitude") + " FROM factories WHERE city='Pune'"),
 )
 def plain_sites(spark, sf_dir):
     out = serving.plain_sites(Inputs(spark, sf_dir).factories, "pune")

@@ -139,7 +139,7 @@ def geojson(spark, sf_dir):
     sql("readings_aqi", "SELECT round(station_lat,6) AS lat, round(station_lon,6) AS lon, station_name AS station, city, "
         f"CASE WHEN aqi_index IS NULL THEN 'Unknown' ELSE {band_name_sql('aqi_index')} END AS band, CASE WHEN aqi_index IS NULL THEN '#808080' ELSE {band_colour_sql('aqi_index')} END AS colour, "
         "CASE WHEN pm25 IS NULL THEN 'N/A' ELSE printf('%.2f',pm25) END AS pm25, strftime(timestamp,'%Y-%m-%d %H:%M:%S') AS timestamp, "
-        "concat(station_name,' | AQI: ',CASE WHEN aqi_index IS NULL THEN 'N/A' ELSE CAST(round(CAST(CAST(aqi_index AS VARCHAR) AS DECIMAL(38,18)),2) AS DECIMAL(20,2))::VARCHAR END) AS tooltip FROM "
+        "concat(station_name,' | AQI: ',CASE WHEN aqi_index IS NULL THEN 'N/A' ELSE printf('%.2f',aqi_index) END) AS tooltip FROM "
         "(SELECT *, row_number() OVER (PARTITION BY station_lat, station_lon ORDER BY event_id) AS rn FROM readings_aqi WHERE station_lat IS NOT NULL) WHERE rn=1"),
 )
 def station_markers(spark, sf_dir):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stackplume.operators import aggregates as ag
@@ -78,7 +77,7 @@ def time_split(spark, sf_dir):
 @query(
     "F1_paginate",
     sql("readings", "SELECT event_id, round(pm25,6) AS pm25, (SELECT count(*) FROM readings WHERE pm25 IS NOT NULL) AS total FROM readings WHERE pm25 IS NOT NULL "
-        "ORDER BY readings.pm25 DESC, event_id LIMIT 200 OFFSET 400"),
+        "ORDER BY readings.pm25 DESC, event_id LIMIT 500 OFFSET 1000"),
 )
 def paginate(spark, sf_dir):
     r = Inputs(spark, sf_dir).readings.where("pm25 IS NOT NULL")
@@ -96,14 +95,11 @@ def page_after(spark, sf_dir):
 
 @query(
     "F2_order_by_score_desc",
-    sql("reports", "SELECT factory_id, round(composite_score,6) AS composite_score, row_number() OVER (ORDER BY composite_score DESC, factory_id) AS position FROM reports "
-        "ORDER BY position LIMIT 200"),
+    sql("reports", "SELECT factory_id, round(composite_score,6) AS composite_score, row_number() OVER (ORDER BY composite_score DESC, factory_id) AS position FROM reports"),
 )
 def order_by_score(spark, sf_dir):
-    # The first page only: a window over the page numbers its rows.
-    ordered = rp.order_by_score(Inputs(spark, sf_dir).reports).limit(ls.MAX_PAGE_SIZE)
-    place = Window.orderBy(F.col("composite_score").desc(), "factory_id")
-    return ordered.select("factory_id", *r6("composite_score"), F.row_number().over(place).alias("position"))
+    placed = wn.number_in_order(Inputs(spark, sf_dir).reports, [F.col("composite_score").desc(), F.col("factory_id")], "position")
+    return placed.select("factory_id", *r6("composite_score"), "position")
 
 
 @query(

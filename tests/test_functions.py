@@ -99,3 +99,37 @@ def test_box_gap_never_exceeds_the_distance(spark):
     df = spark.createDataFrame(rows, "p double, q double, s double, n double, w double, e double, y double, x double")
     bad = df.where(geo.box_gap_km("p", "q", "s", "n", "w", "e") > geo.haversine_km("p", "q", "y", "x") + 1e-6)
     assert bad.count() == 0
+
+
+def test_printed_like_the_binary_value(spark):
+    from stackplume.functions.numeric import printed
+
+    values = [372777.35, 0.25, 0.35, 2.5, 0.05, 0.15, 1e-9, 0.0, 9.995, 9.95, 1.005, 2.675, 123456789.125, 0.125, 0.375, -0.25, -0.04, 99.95, 1e15, 0.1 + 0.2]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (1, 2, 3):
+        rows = df.select("v", printed("v", digits).alias("t")).collect()
+        assert [r["t"] for r in rows] == [f"{r['v']:.{digits}f}" for r in rows]
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder(monkeypatch):
+    import pytest
+
+    from stackplume import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return self
+
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Context()
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session())

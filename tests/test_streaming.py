@@ -35,6 +35,28 @@ def test_ingest_removes_repeats_across_batches(spark, tmp_path):
     assert spark.read.parquet(out).count() == batch.count()
 
 
+def late_batches(spark, folder):
+    """A second file whose rows are 40, 50 and 60 days older than the first one's."""
+    newest = dt.datetime(2024, 6, 1)
+    rows = [(newest - dt.timedelta(days=d), f"s{d}", "c", "live", 1.0, 2.0, 3.0) for d in (0, 1, 2, 40, 50, 60)]
+    for part in (rows[:3], rows[3:] + rows[:1]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_late_rows_are_kept(spark, tmp_path):
+    folder = f"{tmp_path}/in"
+    late_batches(spark, folder)
+    stream = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    ingest.start_ingest(stream(), f"{tmp_path}/out", f"{tmp_path}/s1").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 6
+    ingest.append_new(spark.read.schema(SCHEMA).parquet(folder), f"{tmp_path}/out", 1)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 6
+    city_stats.start_city_stats(stream(), f"{tmp_path}/partials", f"{tmp_path}/s2").awaitTermination()
+    assert city_stats.recent_stats(spark, f"{tmp_path}/partials", 100).first()["reading_count"] == 7
+    city_stats.compact(spark, f"{tmp_path}/partials", f"{tmp_path}/compacted")
+    assert city_stats.recent_stats(spark, f"{tmp_path}/compacted", 100).first()["reading_count"] == 7
+
+
 def test_city_stats_equal_the_batch_result(spark, tmp_path):
     folder, out = f"{tmp_path}/in", f"{tmp_path}/out"
     write_batches(spark, folder)
