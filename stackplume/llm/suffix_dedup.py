@@ -147,7 +147,9 @@ def _settle(runs: DataFrame, store: _Store, name: str, extra: tuple[str, ...] =
     )
     equal = classes.where("n > 1").select("core", "f1", "f2")
     settled = runs.join(equal, ["core", "f1", "f2"], "left_semi").select("k1", "k2", "first", (F.col("first") + F.col("windows")).alias("end")).distinct()
-    split = classes.groupBy("core").agg(F.count(F.lit(1)).alias("_classes")).where("_classes > 1").select("core")
+    split = store.keep(
+        classes.groupBy("core").agg(F.count(F.lit(1)).alias("_classes")).where("_classes > 1").select("core"), f"{name}-split"
+    )
     onward = classes.join(split, "core", "left_semi").select("core", (F.col("n") > 1).alias("settled"), "place.*")
     return settled, onward
 
@@ -229,12 +231,13 @@ def repeated_windows(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
     """k1, k2, first, end: runs of window starts that repeat, by the digest of the text they are in.
 
     A run is repeated if its windows start anywhere else too: in another row, or elsewhere in the same text.  Rows with
-    equal texts repeat each other.  Nothing is gathered per group: groups are counted and joined, and hot ones split.
+    equal texts repeat each other.  Nothing is gathered per group: groups are counted and joined.  The counts are stored
+    first, because adaptive execution splits a hot group only where both sides of a join come straight from a shuffle.
     """
     store = _Store(documents.sparkSession)
     dealt = _first_digit(documents, depth)
     # Anchors that occur once end here; most do.
-    shared = dealt.groupBy("core").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("core")
+    shared = store.keep(dealt.groupBy("core").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("core"), "shared")
     runs = store.keep(dealt.join(shared, "core", "left_semi"), "runs")
     settled_runs, onward = _settle(runs, store, "runs", ("anchor",))
     onward = store.keep(onward, "runs-onward")
@@ -243,7 +246,9 @@ def repeated_windows(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
     blocks = store.keep(_second_digit(onward, texts, depth), "blocks")
     settled_blocks, open_blocks = _settle(blocks, store, "blocks", ("c2", "skip", "flank"))
     windows = store.keep(_third_digit(open_blocks, depth), "windows")
-    repeated = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("w1", "w2")
+    repeated = store.keep(
+        windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("w1", "w2"), "repeated"
+    )
     settled_windows = windows.where("open = 1").join(repeated, ["w1", "w2"], "left_semi").select(
         "k1", "k2", "first", (F.col("first") + 1).alias("end")
     )
