@@ -292,6 +292,17 @@ def classification_metrics(df: DataFrame, truth: str = "true_class", predicted:
     return out
 
 
+def class_distribution(df: DataFrame, truth: str = "true_class", predicted: str = "pred_class") -> DataFrame:
+    """label, true_rows, predicted_rows for every class that is true or predicted somewhere."""
+    cells = df.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    both = cells.select(F.col("t").alias("label"), F.col("n").alias("true_rows"), F.lit(0).alias("predicted_rows")).unionByName(
+        cells.select(F.col("p").alias("label"), F.lit(0).alias("true_rows"), F.col("n").alias("predicted_rows"))
+    )
+    return both.where("label IS NOT NULL").groupBy("label").agg(
+        F.sum("true_rows").alias("true_rows"), F.sum("predicted_rows").alias("predicted_rows")
+    )
+
+
 def confusion_matrix(df: DataFrame, labels: list[str], truth: str = "true_class", predicted: str = "pred_class") -> DataFrame:
     """Counts per true and predicted class; classes absent from the truth are left out of both axes' rows."""
     cells = df.groupBy(truth).pivot(predicted, labels).count()

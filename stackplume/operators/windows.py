@@ -69,8 +69,17 @@ def sample_order(seed: int, *ids) -> "F.Column":
 
 
 def deterministic_sample(df: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:
-    """``n`` rows picked by digest order: the same rows on every run and cluster."""
-    return df.withColumn("_draw", sample_order(seed, *ids)).orderBy("_draw", *ids).limit(n).drop("_draw")
+    """``n`` rows picked by digest order: the same rows on every run and cluster.
+
+    A limit alone would send up to ``n`` rows of every partition to one task.  The sizes of 65 536 digest slices tell
+    where the first ``n`` rows end, and only rows up to that slice are ordered.
+    """
+    drawn = df.withColumn("_draw", sample_order(seed, *ids)).withColumn("_slice", F.substring("_draw", 1, 4))
+    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = drawn.groupBy("_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    before = sizes.select("_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    last = before.where(F.col("_before") < n).agg(F.max("_slice").alias("last")).scalar()
+    return drawn.where(F.col("_slice") <= last).orderBy("_draw", *ids).limit(n).drop("_draw", "_slice")
 
 
 def hashed_ranks(df: DataFrame, stratum: str, ids: list[str], seed: int) -> DataFrame:

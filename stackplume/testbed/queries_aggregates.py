@@ -216,10 +216,14 @@ def scored_pairs(spark, sf_dir):
 @query(
     "D18_regression_metrics",
     sql("readings", "SELECT round(sqrt(avg(power(y_true-y_pred,2))),6) AS rmse, round(avg(abs(y_true-y_pred)),6) AS mae, "
+        "round(avg(CASE WHEN y_true<>0 THEN abs(y_true-y_pred)/abs(y_true) END),6) AS mape, "
         "round(1-sum(power(y_true-y_pred,2))/(var_pop(y_true)*count(*)),6) AS r2, count(*) AS rows FROM pairs", _TRUTH),
 )
 def regression(spark, sf_dir):
-    return ag.regression_metrics(scored_pairs(spark, sf_dir)).select(*r6("rmse", "mae", "r2"), "rows")
+    pairs = scored_pairs(spark, sf_dir)
+    # The percentage error of a true zero has no printable value; it is measured over the other rows.
+    mape = ag.regression_metrics(pairs.where("y_true <> 0")).select("mape").scalar()
+    return ag.regression_metrics(pairs).withColumn("mape", mape).select(*r6("rmse", "mae", "mape", "r2"), "rows")
 
 
 CLASSES = (
@@ -241,6 +245,15 @@ def classification(spark, sf_dir):
     return out.select("label", *r6("precision", "recall", "f1"), "support")
 
 
+@query(
+    "D19_class_distribution",
+    sql("readings", "SELECT label, CAST(sum(a) AS BIGINT) AS true_rows, CAST(sum(b) AS BIGINT) AS predicted_rows FROM "
+        "(SELECT t AS label, 1 AS a, 0 AS b FROM classed UNION ALL SELECT p, 0, 1 FROM classed) GROUP BY label", CLASSES),
+)
+def distribution(spark, sf_dir):
+    return ag.class_distribution(classified(scored_pairs(spark, sf_dir)))
+
+
 @query(
     "D20_confusion_matrix",
     sql("readings", "SELECT t AS true_class, count(*) FILTER (p='Low') AS pred_low, count(*) FILTER (p='Medium') AS pred_medium, count(*) FILTER (p='High') AS pred_high FROM classed GROUP BY t", CLASSES),
