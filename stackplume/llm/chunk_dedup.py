@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stackplume.llm.common import Store
+
 #: One chunk end in so many positions, beyond the least size.
 CUT_ONE_IN = 24
 LEAST_CHUNK = 16
@@ -114,10 +116,12 @@ def dedupe(documents: DataFrame, least_bytes: int = 80) -> DataFrame:
     """
     found = chunks(documents)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "spot")
-    classes = (
+    # Stored before the join, because adaptive execution splits a hot chunk only where both sides come from a shuffle.
+    classes = Store(documents.sparkSession, "chunks").keep(
         found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
         .where(~F.col("first").eqNullSafe(F.col("last")))
-        .select("d1", "d2", "first")
+        .select("d1", "d2", "first"),
+        "classes",
     )
     later = ~place.eqNullSafe(F.col("first"))
     repeated = (

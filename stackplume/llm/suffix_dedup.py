@@ -17,7 +17,6 @@ Digests have 128 bits where they decide and 64 where they only deal out.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackplume.session import ensure_checkpoint_dir
+from stackplume.llm.common import Store
 
 DEPTH = 400
 ANCHOR_BYTES = 64
@@ -90,19 +89,6 @@ def _unpack(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
-class _Store:
-    """Tables written to the shared checkpoint folder and read back, so lineage is cut and executors can be lost."""
-
-    def __init__(self, spark):
-        self.spark = spark
-        self.folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/repeats-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-
 RUN = "core long, f1 long, f2 long, k1 long, k2 long, first int, windows int, anchor int"
 
 
@@ -136,7 +122,7 @@ def _first_digit(documents: DataFrame, depth: int) -> DataFrame:
     return documents.select("text").mapInArrow(dealt, RUN)
 
 
-def _settle(runs: DataFrame, store: _Store, name: str, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def _settle(runs: DataFrame, store: Store, name: str, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The spans of runs that are equal as a whole, and the runs that go on to the next digit.
 
     A group (core) goes on if it holds runs that differ; each class of equal runs then sends one.
@@ -234,7 +220,7 @@ def repeated_windows(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
     equal texts repeat each other.  Nothing is gathered per group: groups are counted and joined.  The counts are stored
     first, because adaptive execution splits a hot group only where both sides of a join come straight from a shuffle.
     """
-    store = _Store(documents.sparkSession)
+    store = Store(documents.sparkSession, "repeats")
     dealt = _first_digit(documents, depth)
     # Anchors that occur once end here; most do.
     shared = store.keep(dealt.groupBy("core").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("core"), "shared")
