@@ -53,6 +53,8 @@ def _folding() -> dict[int, str | None]:
         letter = chr(code).lower()
         letter = SUBSTITUTES.get(letter, letter)
         fold[code] = letter if letter.isalpha() else " "
+    # General punctuation: dashes, quotation marks, ellipses.
+    fold |= dict.fromkeys(range(0x2000, 0x2070), " ")
     for letter, like in LOOKALIKES.items():
         fold[ord(letter)] = fold[ord(letter.upper()[0])] = like
     for character in WIDTHLESS:
@@ -165,8 +167,9 @@ def train(
 ) -> Lexicon:
     """A lexicon of at most ``size`` entries from at most ``per_class`` labelled training rows of each class.
 
-    An entry occurs in ``least_texts`` toxic texts and has log-odds of ``least_weight``.  Entries that begin like a
-    shorter one of at least their weight are left to it.  Without toxic labels the lexicon is empty.
+    An entry occurs in ``least_texts`` toxic texts and has log-odds of ``least_weight``.  A beginning gives way to a
+    longer entry that nearly all its texts hold; entries that begin like a remaining shorter one of at least their
+    weight are left to it.  Without toxic labels the lexicon is empty.
     """
     sample = training_labels(labels, "toxic", per_class)
     texts = labelled_texts(documents, sample).select("y", "text")
@@ -189,8 +192,11 @@ def train(
         .orderBy(F.col("toxic").desc(), "entry").limit(4 * size).collect()
     )
     weights = {r["entry"]: float(r["weight"]) for r in best}
+    counts = {r["entry"]: r["toxic"] for r in best}
+    # A beginning that one longer entry explains says no more than that entry and would match other words.
+    explained = {e[:n] for e in counts for n in range(4, len(e)) if counts[e] >= 0.95 * counts.get(e[:n], float("inf"))}
     kept: dict[str, float] = {}
-    for entry in sorted(weights, key=len):
+    for entry in sorted(weights.keys() - explained, key=lambda e: (len(e), e)):
         if len(kept) < size and not any(kept.get(entry[:n], 0.0) >= weights[entry] for n in range(4, len(entry))):
             kept[entry] = weights[entry]
     lexicon = Lexicon(kept)

@@ -36,6 +36,19 @@ def test_held_out_accuracy(spark, name, label, threshold, least):
     assert (judged.predicted == judged[label]).mean() >= least
 
 
+def test_folding_undoes_disguises():
+    from stackplume.llm.toxicity import Lexicon, fold
+
+    plain = fold("you idiot, you clown")
+    assert plain == " you idiot you ciown "
+    for text in ("YOU 1D10T, you cl0wn", "yоu іdіоt\u2014you c1own\u2026", "you \u201cid\u200biot\u201d you ｃｌｏｗｎ", "y0u !diot you c|own"):
+        assert fold(text) == plain
+    assert fold(None) == fold("") == " "
+    lexicon = Lexicon({" idiot ": 5.0, " cio": 3.0}, {" savant idiot "}, __import__("numpy").array([-4.0, 2.0, 0.5, 1.0]))
+    assert [w for _, _, w in lexicon.matches(fold("idiot savant idiot clown"))] == [5.0, 3.0]
+    assert lexicon.score("an idiot") > 0.5 > lexicon.score("a savant idiot") == lexicon.score(None)
+
+
 def base_counts(text):
     words = WORD.findall(text or "")
     lines = [line for line in (text or "").split("\n") if WORD.search(line)]
