@@ -37,17 +37,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def training_labels(labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """doc_id and y (0/1) of at most ``per_class`` training rows of each class, the same rows in every run.
+def all_training_labels(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id and y (0/1) of all training rows.
 
     Held-out rows, NULL ids and NULL labels are left out; an id with several labels counts once, with the larger one.
     """
-    known = (
+    return (
         labels.where(~held_out() & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg(F.max(label).cast("int").alias("y"))
-        .withColumn("_order", F.xxhash64("doc_id"))
     )
+
+
+def training_labels(labels: DataFrame, label: str, per_class: int) -> DataFrame:
+    """``all_training_labels``, at most ``per_class`` rows of each class, the same rows in every run."""
+    known = all_training_labels(labels, label).withColumn("_order", F.xxhash64("doc_id"))
     parts = [known.where(F.col("y") == y).orderBy("_order", "doc_id").limit(per_class) for y in (0, 1)]
     return parts[0].unionByName(parts[1]).select("doc_id", "y")
 

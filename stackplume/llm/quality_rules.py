@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackplume.llm.common import labelled_texts, materialise, training_labels, whole_text
+from stackplume.llm.common import all_training_labels, materialise, whole_text
 
 #: Measures (large is bad) by name, over the base columns.
 MEASURES: dict[str, str] = {
@@ -166,7 +166,8 @@ def certified_cutoffs(measured: DataFrame, risk: float = 0.01, delta: float = 0.
         )
     )
     tests = len(GRID) * len(MEASURES) * 3
-    certified = tested.where(binomial_tail(F.col("k"), F.col("n"), risk) <= delta / tests).where(F.col("caught") >= least_gain)
+    # From the mean upwards the tail is far above any error level, and its sum would only be long.
+    certified = tested.where((F.col("k") < risk * F.col("n")) & (binomial_tail(F.col("k"), F.col("n"), risk) <= delta / tests)).where(F.col("caught") >= least_gain)
     best = certified.groupBy("stratum", "rule").agg(F.max("caught").alias("best"))
     return (
         certified.join(best, ["stratum", "rule"]).where("caught >= 0.95 * best")
@@ -174,24 +175,21 @@ def certified_cutoffs(measured: DataFrame, risk: float = 0.01, delta: float = 0.
     )
 
 
-def apply_rules(
-    documents: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05, per_class: int = 40_000
-) -> DataFrame:
+def apply_rules(documents: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the names of the failed rules of every row of ``documents``.
 
     NULL and empty texts count nothing and fail the base rule; repeated rows are judged alike; a NULL doc_id is judged
     but never learned from; an empty table gives no rows, and without labels only the base rules judge.  Other columns
-    are ignored.  The holdout is at most ``per_class`` labelled rows of each class.  ``risk`` holds for each rule and
-    stratum, so all rules together turn away at most len(MEASURES) times that.
+    are ignored.  The holdout is all labelled rows that training may see, joined to the documents' measures by id.
+    ``risk`` holds for each rule and stratum, so all rules together turn away at most len(MEASURES) times that.
     """
-    sample = training_labels(labels, "quality", per_class)
-    measured = materialise(base_measures(labelled_texts(documents, sample), "doc_id", "y"))
+    judged = materialise(base_measures(documents, "doc_id"))
+    measured = materialise(judged.join(all_training_labels(labels, "quality"), "doc_id"))
     cutoffs = materialise(certified_cutoffs(measured, risk, delta))
     # At most one number for each rule and stratum, so they are written into the plan.
     bounds: dict[str, dict[str, float]] = {name: {} for name in MEASURES}
     for row in cutoffs.collect():
         bounds[row["rule"]][row["stratum"]] = row["cutoff"]
-    judged = base_measures(documents, "doc_id")
     checks = []
     for name, of_stratum in bounds.items():
         above = F.lit(False)
