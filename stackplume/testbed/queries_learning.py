@@ -1,4 +1,4 @@
-"""L and the training jobs.  The registered runs use small forests; the defaults of the functions are the full sizes."""
+"""L and the training jobs, at the full sizes that the functions have by default."""
 
 from __future__ import annotations
 
@@ -15,9 +15,6 @@ from stackplume.testbed.catalog import Inputs, query, r6
 from stackplume.testbed.queries_sources import scratch
 from stackplume.testbed.sqltext import case_sql, r6 as s6, sql
 
-FOREST = {"trees": 10, "depth": 6}
-BOOSTED = {"rounds": 8, "depth": 4, "rate": 0.2}
-
 
 def _usable(spark, sf_dir):
     return ln.fill_modes(Inputs(spark, sf_dir).ml_dataset.where(f"{ln.TARGET} IS NOT NULL"), ln.CATEGORICAL_FEATURES)
@@ -46,32 +43,32 @@ def _trained(spark, sf_dir, estimator):
 
 @query("L2_train_random_forest")
 def random_forest(spark, sf_dir):
-    rows, model = _trained(spark, sf_dir, ln.random_forest(**FOREST))
+    rows, model = _trained(spark, sf_dir, ln.random_forest())
     return ln.evaluate(model, rows.where("split = 'test'"), "random_forest")
 
 
 @query("L3_train_boosted_trees")
 def boosted_trees(spark, sf_dir):
-    rows, model = _trained(spark, sf_dir, ln.boosted_trees(**BOOSTED))
+    rows, model = _trained(spark, sf_dir, ln.boosted_trees())
     return ln.evaluate(model, rows.where("split = 'test'"), "boosted_trees")
 
 
 @query("L4_cross_validate_r2")
 def cross_validate(spark, sf_dir):
     rows = _usable(spark, sf_dir).where("split IN ('train', 'val')")
-    mean, spread = ln.cross_validated_r2(rows, ln.random_forest(**FOREST), ["event_id"])
+    mean, spread = ln.cross_validated_r2(rows, ln.random_forest(), ["event_id"])
     return spark.createDataFrame([("random_forest", mean, spread)], "model string, cv_r2_mean double, cv_r2_std double")
 
 
 @query("P4_train_impact_models")
 def train_impact_models(spark, sf_dir):
-    result = tn.train_impact_models(Inputs(spark, sf_dir).ml_dataset, ["event_id"], FOREST, BOOSTED, folds=2)
+    result = tn.train_impact_models(Inputs(spark, sf_dir).ml_dataset, ["event_id"])
     return result.metrics
 
 
 @query("L6_model_report")
 def model_report(spark, sf_dir):
-    result = tn.train_impact_models(Inputs(spark, sf_dir).ml_dataset, ["event_id"], FOREST, BOOSTED, folds=0)
+    result = tn.train_impact_models(Inputs(spark, sf_dir).ml_dataset, ["event_id"])
     folder = scratch(spark)
     result.model.write().save(f"{folder}/model")
     features = ", ".join([*ln.NUMERIC_FEATURES, *ln.CATEGORICAL_FEATURES])
@@ -81,26 +78,26 @@ def model_report(spark, sf_dir):
 
 @query("L7_batch_score")
 def batch_score(spark, sf_dir):
-    rows, model = _trained(spark, sf_dir, ln.random_forest(**FOREST))
+    rows, model = _trained(spark, sf_dir, ln.random_forest())
     return ln.batch_score(model, rows).select("event_id", *r6("predicted_score"), "risk_level")
 
 
 @query("L14_F5_feature_importances")
 def importances(spark, sf_dir):
-    rows, model = _trained(spark, sf_dir, ln.random_forest(**FOREST))
+    rows, model = _trained(spark, sf_dir, ln.random_forest())
     return ln.feature_importances(model, rows)
 
 
 @query("L8_train_action_recommender")
 def action_recommender(spark, sf_dir):
-    _, metrics = tn.train_recommender(Inputs(spark, sf_dir).scored_readings, ["event_id"], trees=5)
+    _, metrics = tn.train_recommender(Inputs(spark, sf_dir).scored_readings, ["event_id"])
     return metrics
 
 
 @query("L9_predict_actions")
 def predict_actions(spark, sf_dir):
     t = Inputs(spark, sf_dir)
-    recommender, _ = tn.train_recommender(t.scored_readings, ["event_id"], trees=5)
+    recommender, _ = tn.train_recommender(t.scored_readings, ["event_id"])
     out = ln.predict_actions(recommender, t.scored)
     return out.select("factory_id", F.array_join("categories", "|").alias("categories"))
 
@@ -108,7 +105,7 @@ def predict_actions(spark, sf_dir):
 @query("P6_recommendations_with_learned_actions")
 def recommendations_with_learned(spark, sf_dir):
     t = Inputs(spark, sf_dir)
-    recommender, _ = tn.train_recommender(t.scored_readings, ["event_id"], trees=5)
+    recommender, _ = tn.train_recommender(t.scored_readings, ["event_id"])
     suggestions = ln.predict_actions(recommender, t.scored).select("factory_id", "categories")
     out = recommend(t.factories, t.near_city, "2024-02-01T00:00:00+00:00", suggestions)
     return out.select("factory_id", "risk_level", F.array_join(F.transform("recommendations", lambda a: a["action"]), " > ").alias("actions"))
@@ -130,7 +127,7 @@ def forecast_features(spark, sf_dir):
 
 
 def _forecaster(spark, sf_dir):
-    return tn.train_forecast(Inputs(spark, sf_dir).monthly, rounds=8, depth=4)
+    return tn.train_forecast(Inputs(spark, sf_dir).monthly)
 
 
 @query("L11_train_forecaster")
