@@ -55,7 +55,7 @@ def brute_force(docs, encoders):
             by_end[at].append(i)
         mine = [(a, b) for at, a in ends[0] for b in by_end[at]]
         groups, i, j = [], 0, 0
-        for cut in sorted({at for at, _ in ends[0]} & set(by_end)):
+        for cut in sorted({at for at, _ in ends[0]} & {at for at, _ in ends[1]}):
             of_a, of_b = [], []
             while i < len(ends[0]) and ends[0][i][0] <= cut:
                 of_a.append(str(ends[0][i][1]))
