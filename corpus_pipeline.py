@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackplume.llm import decontaminate, fm_quality, mixing, near_copies, secrets_scan
+from stackplume.llm import decontaminate, fm_quality, mixing, secrets_scan, simhash
 from stackplume.llm.common import table
 from stackplume.session import ensure_checkpoint_dir
 
@@ -30,8 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of texts whose five-word shingles are alike by 0.8 or more, directly or in steps."""
-    return near_copies.keep_first(docs.select(*COLUMNS))
+    """One document of every group of texts whose SimHash fingerprints are linked, with the shingles and bits of op6."""
+    return simhash.keep_first(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
