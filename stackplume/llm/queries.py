@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stackplume.llm import chunk_dedup, decontaminate, fm_quality, html_extract, mixing, prefix_trie, quality_rules, secrets_scan, simhash, suffix_dedup, token_align, toxicity
+from stackplume.llm import chunk_dedup, decontaminate, fm_quality, html_extract, jaccard_join, mixing, prefix_trie, quality_rules, secrets_scan, simhash, suffix_dedup, token_align, toxicity
 from stackplume.llm.common import held_out, table
 
 
@@ -62,6 +62,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.spliced_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align_public(spark, table(spark, sf_dir, "documents"))[0]
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op9_chunk_dedup": op9_chunk_dedup,
     "op10_mix_sources": op10_mix_sources,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_token_align": op13_token_align,
 }
 

@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ VOCABULARIES = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Token ends that a piece of the merge path covers.
 PIECE_ENDS = 1 << 16
-#: Characters of texts that are encoded and merged at once; one longer text is a block of its own.
-BLOCK_CHARS = 1 << 20
+#: UTF-8 bytes of texts that are encoded and merged at once; one longer text is a block of its own.
+BLOCK_BYTES = 1 << 18
 
 # The split pattern of byte-level BPE, and the bytes that its vocabulary writes as themselves.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -58,8 +59,6 @@ def byte_bpe(definition: bytes) -> Encoder:
     Where merges stand in the order of the ids that they make and the words are split by ``SPLIT_PATTERN``, ids are
     ranks, and a faster encoder that works on ranks gives the same ids.
     """
-    from tokenizers import Tokenizer
-
     described = json.loads(definition)
     vocabulary, letters = described["model"]["vocab"], byte_letters()
     special = {t["content"]: t["id"] for t in described.get("added_tokens", [])}
@@ -84,6 +83,8 @@ def byte_bpe(definition: bytes) -> Encoder:
         ranks = {token_bytes[i]: i for t, i in vocabulary.items() if t not in special}
         fast = tiktoken.Encoding("ranks", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
         return Encoder(fast.encode_ordinary, token_bytes)
+    from tokenizers import Tokenizer
+
     tokenizer = Tokenizer.from_str(definition.decode())
     tokenizer.encode_special_tokens = True
     return Encoder(lambda text: tokenizer.encode(text, add_special_tokens=False).ids, token_bytes)
@@ -250,16 +251,16 @@ _TYPES = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int6
 _SCHEMA = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 
 
-def _blocks(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
+def _blocks(texts: pa.Array, chars: int) -> Iterator[tuple[int, int]]:
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     start, held = 0, 0
-    for at, text in enumerate(texts):
-        size = len(text or "")
+    for at, size in enumerate(sizes):
         if at > start and held + size > chars:
             yield start, at
             start, held = at, 0
         held += size
-    if texts:
-        yield start, len(texts)
+    if sizes:
+        yield start, len(sizes)
 
 
 def read_vocabulary(folder: str, name: str) -> bytes:
@@ -282,9 +283,9 @@ def aligned(documents: DataFrame, a_definition: bytes, b_definition: bytes) -> D
             if not rows.num_rows:
                 continue
             aligner = aligner or Aligner(byte_bpe(sent.value[0]), piece_bpe(sent.value[1]))
-            texts = rows.column(1).to_pylist()
-            for start, end in _blocks(texts, BLOCK_CHARS):
-                columns = zip(*aligner.block(texts[start:end]))
+            texts = rows.column(1)
+            for start, end in _blocks(texts, BLOCK_BYTES):
+                columns = zip(*aligner.block(texts.slice(start, end - start).to_pylist()))
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0).slice(start, end - start), *(pa.array(c, t) for c, t in zip(columns, _TYPES))], ["doc_id", *_COLUMNS]
                 )
@@ -316,16 +317,15 @@ def align(documents: DataFrame, a_definition: bytes, b_definition: bytes) -> tup
     columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
     # Bounded by the bytes of both vocabularies, see above.
     sent = F.broadcast(counts)
-    each = found.select("row", *columns, F.explode_outer(F.arrays_zip("pairs", "times")).alias("x")).select(
-        "row", *columns, F.col("x.pairs").alias("pair"), F.col("x.times").alias("times")
+    each = found.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select(
+        "row", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times")
     )
-    summed = each.join(sent, "pair", "left").groupBy("row").agg(
-        *(F.any_value(c).alias(c) for c in columns),
-        F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"),
-        F.coalesce(F.sum(F.col("times") * F.col("count")), F.lit(0)).alias("count_sum"),
+    summed = each.join(sent, "pair").groupBy("row").agg(
+        F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum")
     )
+    whole = found.select("row", *columns).join(summed, "row", "left").fillna(0, ["n_best", "count_sum"])
     pairs = counts.select(F.shiftright("pair", 32).alias("a"), F.expr("pair & 4294967295L").alias("b"), "count", "best")
-    return summed.select(*columns[:-1], "n_best", "count_sum", "groups_sha256"), pairs
+    return whole.select(*columns[:-1], "n_best", "count_sum", "groups_sha256"), pairs
 
 
 def align_public(spark: SparkSession, documents: DataFrame, folder: str = VOCABULARIES, a_file: str = A_FILE, b_file: str = B_FILE) -> tuple[DataFrame, DataFrame]:

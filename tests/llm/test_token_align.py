@@ -90,7 +90,7 @@ def test_odd_texts(spark, encoders):
 
 
 def test_whole_table_in_small_blocks_and_pieces(spark, encoders, monkeypatch):
-    monkeypatch.setattr(token_align, "BLOCK_CHARS", 5000)
+    monkeypatch.setattr(token_align, "BLOCK_BYTES", 5000)
     documents = table(spark, "/root/testdata/sf0.001", "documents")
     docs = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
     assert got(token_align.align_public(spark, documents)[0]) == brute_force(docs, encoders)
