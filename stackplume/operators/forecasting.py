@@ -1,23 +1,22 @@
 """Monthly forecast of site scores.
 
 The model is a boosted forest trained by Spark ML.  A forecast feeds each month's prediction into the next month's
-features, so the fitted trees are flattened to arrays (their size is set by the model, not by the data), shipped with
-the task, and evaluated for a whole batch of sites at once.
+features, so the state of a site (its last three scores) is a row that every month moves on: features by expressions,
+one transformation by the fitted model, and the row is stored every few months.
 """
 
 from __future__ import annotations
 
-import uuid
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stackplume.functions.numeric import clamp
+from stackplume.operators.learning import stored_matrix
 from stackplume.operators.matching import growth_and_urbanisation
 from stackplume.operators.windows import lag_features
 from stackplume.session import ensure_checkpoint_dir
@@ -35,7 +34,7 @@ FIRST_INDEX = 61  # January 2025 counted from December 2019
 
 def time_encodings(year="year", month="month") -> dict[str, Column]:
     y, m = F.col(year), F.col(month)
-    angle = 2 * np.pi * m / 12
+    angle = 2 * math.pi * m / 12
     return {
         "time_index": (y - 2020) * 12 + m,
         "year_norm": (y - 2020) / 10.0,
@@ -68,141 +67,71 @@ def train_forecaster(features: DataFrame, rounds: int = 200, depth: int = 5, rat
         ),
         VectorAssembler(inputCols=[f"{c}_hot" for c in CATEGORICAL], outputCol="categories"),
         VectorAssembler(inputCols=[*NUMERIC, "categories"], outputCol="features"),
-        GBTRegressor(
-            labelCol=SCORE, featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed,
-            checkpointInterval=10,
-        ),
     ]
-    return Pipeline(stages=stages).fit(numbers_filled(features))
+    ensure_checkpoint_dir(features.sparkSession)
+    rows = numbers_filled(features).select(SCORE, *[c for c in [*NUMERIC, *CATEGORICAL] if c != SCORE]).checkpoint()
+    encoder = Pipeline(stages=stages).fit(rows)
+    forest = GBTRegressor(
+        labelCol=SCORE, featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, checkpointInterval=10
+    ).fit(stored_matrix(encoder.transform(rows), SCORE))
+    return PipelineModel(stages=[*encoder.stages, forest])
 
 
 def numbers_filled(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in NUMERIC})
 
 
-def flatten_trees(spark, model) -> list[dict]:
-    """Nodes of the fitted trees as arrays, through the saved model (a fixed number of nodes)."""
-    path = f"{ensure_checkpoint_dir(spark)}/forest-{uuid.uuid4().hex}"
-    model.write().save(path)
-    nodes = (
-        spark.read.parquet(f"{path}/data")
-        .select(
-            "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
-            F.col("nodeData.split.featureIndex").alias("feature"),
-            F.try_element_at("nodeData.split.leftCategoriesOrThreshold", F.lit(1)).alias("threshold"),
-            # A categorical split sends a set of categories to the left, kept as the bits of a number.
-            (F.col("nodeData.split.numCategories") > 0).alias("categorical"),
-            F.aggregate(
-                F.when(F.col("nodeData.split.numCategories") > 0, F.col("nodeData.split.leftCategoriesOrThreshold")).otherwise(F.array().cast("array<double>")),
-                F.lit(0).cast("bigint"), lambda bits, c: bits + F.pow(F.lit(2.0), c).cast("bigint"),
-            ).alias("left_categories"),
-        )
-        .toPandas()
-    )
-    trees = []
-    for tree_id, part in nodes.groupby("treeID"):
-        part = part.sort_values("id")
-        trees.append(
-            {
-                "weight": float(model.treeWeights[int(tree_id)]),
-                "left": part["leftChild"].to_numpy(np.int64),
-                "right": part["rightChild"].to_numpy(np.int64),
-                "feature": np.maximum(part["feature"].to_numpy(np.int64), 0),
-                "threshold": part["threshold"].fillna(0.0).to_numpy(np.float64),
-                "categorical": part["categorical"].fillna(False).to_numpy(bool),
-                "left_categories": part["left_categories"].fillna(0).to_numpy(np.int64),
-                "value": part["prediction"].to_numpy(np.float64),
-            }
-        )
-    return trees
-
-
-def evaluate_trees(trees: list[dict], x: np.ndarray) -> np.ndarray:
-    """Weighted sum of tree predictions for every row of ``x``."""
-    out = np.zeros(len(x))
-    rows = np.arange(len(x))
-    for tree in trees:
-        node = np.zeros(len(x), dtype=np.int64)
-        while True:
-            inner = tree["left"][node] >= 0
-            if not inner.any():
-                break
-            value = x[rows, tree["feature"][node]]
-            in_set = (tree["left_categories"][node] >> value.astype(np.int64).clip(0, 62)) & 1 == 1
-            goes_left = np.where(tree["categorical"][node], in_set, value <= tree["threshold"][node])
-            child = np.where(goes_left, tree["left"][node], tree["right"][node])
-            node = np.where(inner, child, node)
-        out += tree["weight"] * tree["value"][node]
-    return out
+#: Months after which the state of all sites is stored.
+STORED_EVERY = 6
+
+
+def month_inputs(m: int, steps: int) -> dict[str, Column]:
+    """Features of forecast month ``m`` (0 is the first) from start, s1, s2, s3: the first score and the last three.
+
+    The last three scores of a site begin with its first one; before they are three, the first one stands for them.
+    """
+    start, s1, s2, s3 = (F.col(c) for c in ("start", "s1", "s2", "s3"))
+    growth, urban = F.col("industry_growth"), F.col("city_urbanization")
+    month = m % 12 + 1
+    rise, spread, drift = 1 + growth / 100 * m / 12, 1 + (urban - 1) * m / 12, 1 + 0.2 * m / steps
+    pm25 = (20 + 15 * s1) * rise
+    columns = {
+        "time_index": F.lit(float(FIRST_INDEX + m)), "year_norm": F.lit((BASE_YEAR + m // 12 - 2020) / 10.0),
+        "month_sin": F.lit(math.sin(2 * math.pi * month / 12)), "month_cos": F.lit(math.cos(2 * math.pi * month / 12)),
+        "pm25": pm25, "pm10": (40 + 20 * s1) * rise, "co": (0.5 + 0.3 * s1) * drift, "no2": (15 + 8 * s1) * spread,
+        "so2": (8 + 4 * s1) * drift, "o3": (20 + 5 * s1) * drift, "rolling_avg_pm25_7d": pm25, "rolling_avg_pm25_30d": pm25,
+        "score_lag_1": s1, "score_lag_3": s3 if m >= 2 else start, "score_rolling_mean_3": (s3 + s2 + s1) / 3 if m >= 2 else start,
+    }
+    return {c: F.coalesce(v.cast("double"), F.lit(0.0)) for c, v in columns.items()}
 
 
 def forecast_monthly(
     sites: DataFrame, model: PipelineModel, years: int = 10, scenario: str = "business_as_usual", partitions: int | None = None
 ) -> DataFrame:
-    """factory_id, year, month, score for 12 * ``years`` months.  ``sites``: factory_id, industry_type, city, current_score."""
+    """factory_id, year, month, score for 12 * ``years`` months.  ``sites``: factory_id, industry_type, city, current_score.
+
+    A site without a current score gets NULL scores.
+    """
     spark = sites.sparkSession
-    forest = model.stages[-1]
-    trees = flatten_trees(spark, forest)
-    # Only the categories that the forest asks for are shipped, however many cities there are.
-    base = len(NUMERIC)
-    asked = sorted({int(f) for t in trees for f, left in zip(t["feature"], t["left"]) if left >= 0 and f >= base})
-    place = {f: base + i for i, f in enumerate(asked)}
-    for tree in trees:
-        tree["feature"] = np.array([place.get(int(f), int(f) if f < base else 0) for f in tree["feature"]], np.int64)
-    encoder = PipelineModel(model.stages[:-2])
-    hot = vector_to_array("categories")
-    categories = F.array(*[F.get(hot, f - base) for f in asked]).cast("array<double>")
-    inputs = encoder.transform(growth_and_urbanisation(sites)).select(
-        "factory_id", "current_score", "industry_growth", "city_urbanization",
-        categories.alias("categories"),
-    )
-    count = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    ensure_checkpoint_dir(spark)
+    encoder, assembler, forest = PipelineModel(stages=model.stages[:-2]), model.stages[-2], model.stages[-1]
     shrink = 0.7 if scenario == "with_interventions" else 1.0
     steps = 12 * years
-
-    def project(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            start = pdf["current_score"].to_numpy(np.float64)
-            growth = pdf["industry_growth"].to_numpy(np.float64)
-            urban = pdf["city_urbanization"].to_numpy(np.float64)
-            x = np.zeros((len(pdf), base + len(asked)))
-            if asked:
-                x[:, base:] = np.vstack(pdf["categories"].to_numpy())
-            past = [start]
-            scores = np.zeros((steps, len(pdf)))
-            for m in range(steps):
-                lag1 = past[-1]
-                lag3 = past[-3] if len(past) >= 3 else start
-                mean3 = np.mean(past[-3:], axis=0) if len(past) >= 3 else start
-                month = m % 12 + 1
-                rise = 1 + growth / 100 * m / 12
-                spread = 1 + (urban - 1) * m / 12
-                drift = 1 + 0.2 * m / steps
-                pm25 = (20 + 15 * lag1) * rise
-                columns = [
-                    FIRST_INDEX + m, (BASE_YEAR + m // 12 - 2020) / 10.0,
-                    np.sin(2 * np.pi * month / 12), np.cos(2 * np.pi * month / 12), growth, urban,
-                    pm25, (40 + 20 * lag1) * rise, (0.5 + 0.3 * lag1) * drift, (15 + 8 * lag1) * spread,
-                    (8 + 4 * lag1) * drift, (20 + 5 * lag1) * drift, pm25, pm25, lag1, lag3, mean3,
-                ]
-                for i, value in enumerate(columns):
-                    x[:, i] = value
-                predicted = evaluate_trees(trees, x)
-                predicted = np.clip(start + (predicted - start) * shrink, 0.0, 10.0)
-                past = [*past[-2:], predicted]
-                scores[m] = predicted
-            yield pd.DataFrame(
-                {
-                    "factory_id": np.repeat(pdf["factory_id"].to_numpy(), steps),
-                    "year": np.tile(BASE_YEAR + np.arange(steps) // 12, len(pdf)).astype(np.int32),
-                    "month": np.tile(np.arange(steps) % 12 + 1, len(pdf)).astype(np.int32),
-                    "score": scores.T.reshape(-1),
-                }
-            )
-
-    # Few rows but much work per row: spread them over the cluster first.
-    return inputs.repartition(count, "factory_id").mapInPandas(
-        project, "factory_id string, year int, month int, score double"
+    start = F.col("current_score").cast("double")
+    kept = ["factory_id", "start", "industry_growth", "city_urbanization", "categories"]
+    # Few columns but many months for each row: spread them over the cluster first.
+    state = encoder.transform(growth_and_urbanisation(sites)).select(
+        "factory_id", start.alias("start"), *(F.col(c).cast("double").alias(c) for c in ("industry_growth", "city_urbanization")), "categories",
+        *(start.alias(c) for c in ("s1", "s2", "s3")), F.array().cast("array<double>").alias("scores"),
+    ).repartition(partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "factory_id").checkpoint()
+    for m in range(steps):
+        predicted = forest.transform(assembler.transform(state.withColumns(month_inputs(m, steps))))
+        moved = predicted.withColumn("score", clamp(F.col("start") + (F.col("prediction") - F.col("start")) * shrink, 0, 10))
+        state = moved.select(
+            *kept, F.col("score").alias("s1"), F.col("s1").alias("s2"), F.col("s2").alias("s3"), F.array_append("scores", F.col("score")).alias("scores")
+        )
+        if (m + 1) % STORED_EVERY == 0:
+            state = state.checkpoint()
+    return state.select("factory_id", F.posexplode("scores").alias("m", "score")).select(
+        "factory_id", (BASE_YEAR + F.floor(F.col("m") / 12)).cast("int").alias("year"), (F.col("m") % 12 + 1).cast("int").alias("month"), "score"
     )

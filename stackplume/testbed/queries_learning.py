@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -27,7 +26,7 @@ def _usable(spark, sf_dir):
 )
 def preprocess(spark, sf_dir):
     rows = ln.prepared(_usable(spark, sf_dir))
-    out = Pipeline(stages=ln.preprocessing()).fit(rows).transform(rows)
+    out = ln.fit_preprocessing(rows).transform(rows)
     place = ln.NUMERIC_FEATURES.index("no2")
     hot = F.aggregate(vector_to_array("city_hot"), F.lit(0.0), lambda a, b: a + b)
     return out.select(
