@@ -2,12 +2,14 @@
 
 Sets that are alike by t differ in at most H = (1 - t) / (1 + t) * (sum of their sizes) tokens.  The hashed universe of
 tokens is cut into segments, in a way of its own for each band of set sizes; a set meets those of its band and of the
-band below.  If a pair may differ in H tokens and H + 1 + SPARE segments are compared, it has equal subsets in more than
-SPARE of them.  That alone ends most sets: their subsets are found nowhere else.
+band below.  A pair that may differ in H tokens has equal subsets in all but H of the m segments of the smaller one's
+band, and m is more than H + SPARE.  That alone ends most sets: their subsets are found nowhere else.
 
 For the rest the budget is allocated by cost.  A set may skip a segment (worth 0), look up its subset there (worth 1) or
-look up its subset and everything one deletion away (worth 2); any allocation worth H + 1 finds every partner, and the
-one with the fewest rows to look at is taken.  Candidates are compared exactly.
+look up its subset and everything one deletion away (worth 2); any allocation worth H + 1 finds every partner.  A set
+whose shared subsets are rare looks all of them up, which also counts in how many segments a partner agrees; one with
+frequent subsets takes the cheapest allocation.  Neighbourhoods cost a row for each token of every set of the band, so
+they are indexed in the bands where they save more than that.  Candidates are compared exactly.
 
 Links are wanted as connected components, so sets that are already connected are never compared: subsets are first
 compared with their neighbours in shuffled orders, which connects large groups of near-copies with few comparisons, and
@@ -36,9 +38,12 @@ PERCENT = 85
 SPARE = 2
 #: Sizes of a band lie within this ratio, in halves.
 BAND_RATIO = 3
-#: Rounds in which sets are compared with their neighbours in a shuffled order, and comparisons of a set in each.
-ROUNDS = 4
+#: Most rounds in which sets are compared with their neighbours in a shuffled order, and comparisons of a set in each.
+#: Rounds end when one adds less than a tenth to the links.
+ROUNDS = 8
 NEIGHBOURS = 2
+#: A set with more rows to look up than this share of its tokens asks for neighbourhoods.
+DEAR = 1.0
 
 _random = np.random.Generator(np.random.PCG64(12))
 _places = _random.integers(0, 1 << 63, 64, np.uint64) << np.uint64(1) | np.uint64(1)
@@ -84,31 +89,32 @@ def may_differ(total: int, percent: int = PERCENT) -> int:
     return (100 - percent) * total // (100 + percent)
 
 
-def compared_segments(size: int, band: int, percent: int = PERCENT) -> int:
-    """How many segments of a band's partition a set needs for its largest partner there; 0 if it has no partner."""
+def budget_in(size: int, band: int, percent: int = PERCENT) -> int:
+    """In how many tokens a set may differ from its largest partner in a band's partition; 0 if it has no partner.
+
+    A partner of less than two tokens' difference is the set itself, and equal sets are one.
+    """
     top = int(_BOUNDS[band + 1]) - 1
     own = band_of(size) == band
     if not own and percent * size > 100 * top:
         return 0
-    budget = may_differ(size + (100 * size // percent if own else top), percent)
-    return budget + 1 + SPARE if budget else 0
+    return may_differ(size + (100 * size // percent if own else top), percent)
 
 
-def all_segments(band: int, percent: int = PERCENT) -> int:
-    """Segments of a band's partition: what its largest sets need, or those of the band above that reach into it."""
+def segments_of(band: int, percent: int = PERCENT) -> int:
+    """Segments of a band's partition, for its largest sets and those of the band above that reach into it."""
     top = int(_BOUNDS[band + 1]) - 1
     return may_differ(top + 100 * top // percent, percent) + 1 + SPARE
 
 
-def subset_hashes(tokens: np.ndarray, band: int, compared: int, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
-    """Sums, sizes and hashes of the subsets in the first ``compared`` segments, and the segment of every token."""
-    segment = ((tokens >> np.uint64(32)) * np.uint64(all_segments(band, percent)) >> np.uint64(32)).astype(np.int64)
-    inside = np.minimum(segment, compared)
-    low = np.bincount(inside, (tokens & np.uint64(0xFFFFFFFF)).astype(np.float64), compared + 1).astype(np.uint64)
-    high = np.bincount(inside, (tokens >> np.uint64(32)).astype(np.float64), compared + 1).astype(np.uint64)
-    sums = ((high << np.uint64(32)) + low)[:compared]
-    sizes = np.bincount(inside, minlength=compared + 1)[:compared]
-    return sums, sizes, _named(sums, np.arange(compared), band), segment
+def subset_hashes(tokens: np.ndarray, band: int, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
+    """Sums, sizes and hashes of the subsets in all segments of a band's partition, and the segment of every token."""
+    count = segments_of(band, percent)
+    segment = ((tokens >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
+    low = np.bincount(segment, (tokens & np.uint64(0xFFFFFFFF)).astype(np.float64), count).astype(np.uint64)
+    high = np.bincount(segment, (tokens >> np.uint64(32)).astype(np.float64), count).astype(np.uint64)
+    sums = (high << np.uint64(32)) + low
+    return sums, np.bincount(segment, minlength=count), _named(sums, np.arange(count), band), segment
 
 
 def _named(sums: np.ndarray, segments: np.ndarray, band: int) -> np.ndarray:
@@ -116,30 +122,43 @@ def _named(sums: np.ndarray, segments: np.ndarray, band: int) -> np.ndarray:
     return _stirred(_stirred(sums) + segments.astype(np.uint64) * _OF_SEGMENT + of_band).view(np.int64)
 
 
+#: A set in one of its partitions: ``own`` is that of its own band, the other that of the band below.
+NODE = ["node", "vertex", "n", "band", "own", "segments", "empty", "budget"]
+_NODE_SCHEMA = "node long, vertex long, n long, band long, own boolean, segments long, empty long, budget long"
+
+
 def measured(documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, text, n, digest of the set, and per side (own band, band below) subset hashes and empty segments."""
+    """doc_id, text, n, digest of the set, and its partitions: band, own, segments, empty, budget and subset hashes."""
+    kind = pa.list_(pa.struct([
+        ("band", pa.int64()), ("own", pa.bool_()), ("segments", pa.int64()), ("empty", pa.int64()), ("budget", pa.int64()), ("subsets", pa.list_(pa.int64())),
+    ]))
+
+    def partitions(tokens: np.ndarray) -> list[dict]:
+        own, out = band_of(len(tokens)), []
+        for band in (own, own - 1):
+            budget = budget_in(len(tokens), band, percent) if band >= 0 else 0
+            if budget:
+                _, sizes, hashes, _ = subset_hashes(tokens, band, percent)
+                filled = hashes[sizes > 0]
+                out.append({"band": band, "own": band == own, "segments": len(sizes), "empty": len(sizes) - len(filled), "budget": budget, "subsets": filled})
+        return out
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            out = []
+            count, digest, parts = [], [], []
             for text in rows.column(1).to_pylist():
                 tokens = shingles(text, size)
-                row = [len(tokens), xxhash.xxh3_128_digest(tokens.tobytes())]
-                band = band_of(len(tokens)) if len(tokens) else 0
-                for at in (band, band - 1):
-                    need = compared_segments(len(tokens), at, percent) if len(tokens) and at >= 0 else 0
-                    _, sizes, hashes, _ = subset_hashes(tokens, at, need, percent) if need else (0, np.zeros(0, int), np.zeros(0, np.int64), 0)
-                    row += [hashes[sizes > 0], int((sizes == 0).sum())]
-                out.append(row)
-            columns = list(zip(*out)) or [()] * 6
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.int64()]
+                count.append(len(tokens))
+                digest.append(xxhash.xxh3_128_digest(tokens.tobytes()))
+                parts.append(partitions(tokens) if len(tokens) else [])
             yield pa.RecordBatch.from_arrays(
-                [*rows.columns, *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                ["doc_id", "text", "n", "digest", "own", "own_empty", "below", "below_empty"],
+                [*rows.columns, pa.array(count, pa.int64()), pa.array(digest, pa.binary()), pa.array(parts, kind)],
+                ["doc_id", "text", "n", "digest", "parts"],
             )
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        computed, "doc_id long, text string, n long, digest binary, own array<long>, own_empty long, below array<long>, below_empty long"
+        computed, "doc_id long, text string, n long, digest binary, "
+        "parts array<struct<band: long, own: boolean, segments: long, empty: long, budget: long, subsets: array<long>>>"
     )
 
 
@@ -181,6 +200,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = rows.slice(rows.num_rows - 1)
 
 
+#: A node that may have a partner: it agrees in all but ``budget`` segments.
+OPEN = "shared + empty >= segments - budget"
+
+
 class Join:
     """The join of a set of distinct token sets with itself, up to connected components."""
 
@@ -188,6 +211,7 @@ class Join:
         self.store, self.percent = store, percent
         self.links: DataFrame | None = None
         self.tested: DataFrame | None = None
+        self.linked = 0
 
     def large_enough(self, n: str, m: str):
         return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
@@ -196,8 +220,8 @@ class Join:
         """vertex and component of all linked vertices."""
         return connected_components(self.links)
 
-    def compare(self, pairs: DataFrame, sets: DataFrame, name: str) -> None:
-        """Add the pairs (a, b) that are alike to the links."""
+    def compare(self, pairs: DataFrame, sets: DataFrame, name: str) -> bool:
+        """Add the pairs (a, b) that are alike to the links; true if they are a tenth of all links or more."""
         pairs = self.store.keep(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"), f"pairs-{name}")
         a, b = (sets.select(F.col("vertex").alias(side), F.col("tokens").alias(f"of_{side}")) for side in "ab")
         common = F.size(F.array_intersect("of_a", "of_b"))
@@ -206,30 +230,30 @@ class Join:
         found = self.store.keep(alike, f"links-{name}")
         self.links = found if self.links is None else self.links.unionByName(found)
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        added = found.count()
+        self.linked += added
+        return added * 10 >= self.linked > 0
 
-    def open_rows(self, rows: DataFrame, empty: DataFrame, name: str) -> DataFrame:
-        """The rows (subset, node, vertex, n) of nodes that may have a partner in another component, with their component.
+    def open_rows(self, rows: DataFrame, name: str) -> DataFrame:
+        """The rows (subset and the columns of NODE) of nodes that may have a partner in another component, with their component.
 
-        Such a pair has equal subsets in more than SPARE segments, empty ones included, so both nodes have more than
-        SPARE segments that are empty or shared by several components.
+        Such a pair has equal subsets in all but ``budget`` segments, empty ones included, so both nodes have as many
+        segments that are empty or shared by several components.
         """
-        placed = rows.withColumn("component", F.col("vertex"))
-        if self.links is not None:
-            placed = rows.join(self.components(), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
-        placed = self.store.keep(placed, f"placed-{name}")
+        placed = self.store.keep(self.placed(rows), f"placed-{name}")
         several = self.store.keep(
             placed.groupBy("subset").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("subset"),
             f"several-{name}",
         )
         contested = self.store.keep(placed.join(several, "subset", "left_semi"), f"contested-{name}")
         unsettled = self.store.keep(
-            contested.groupBy("node").agg(F.count(F.lit(1)).alias("shared")).join(empty, "node").where(f"shared + empty > {SPARE}").select("node"),
+            contested.groupBy("node").agg(F.count(F.lit(1)).alias("shared"), *(F.max(c).alias(c) for c in ("segments", "empty", "budget"))).where(OPEN).select("node"),
             f"unsettled-{name}",
         )
         return self.store.keep(contested.join(unsettled, "node", "left_semi"), f"open-{name}")
 
-    def compare_neighbours(self, rows: DataFrame, sets: DataFrame, turn: int) -> None:
-        """Compare every vertex with those that most often stand beside it when subsets are shuffled."""
+    def compare_neighbours(self, rows: DataFrame, sets: DataFrame, turn: int) -> bool:
+        """Compare every vertex with those that most often stand beside it when subsets are shuffled; see ``compare``."""
         placed = rows.withColumn("place", F.xxhash64(F.lit(turn), "vertex")).repartitionByRange("subset", "place").sortWithinPartitions("subset", "place")
         beside = placed.select("subset", "vertex", "n", "component").mapInArrow(_neighbours, "x long, y long, n_x long, n_y long")
         counted = (
@@ -239,78 +263,152 @@ class Join:
         both = counted.withColumn("of", F.explode(F.array("a", "b")))
         # A vertex has two neighbours in each of its segments at most.
         best = both.groupBy("of").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "a", "b")), asc=False), 1, NEIGHBOURS).alias("best"))
-        self.compare(best.select(F.explode("best").alias("p")).select("p.a", "p.b").distinct(), sets, f"turn{turn}")
+        return self.compare(best.select(F.explode("best").alias("p")).select("p.a", "p.b").distinct(), sets, f"turn{turn}")
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the component of their vertex."""
+        if self.links is None:
+            return rows.withColumn("component", F.col("vertex"))
+        return rows.join(self.components(), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
 
-    def compare_allocated(self, rows: DataFrame, sets: DataFrame) -> None:
-        """Find all partners in other components of the nodes of ``rows`` by allocated look-ups, and compare them."""
-        nodes = rows.select("node", "vertex", "n", "component").distinct()
+    def compare_allocated(self, rows: DataFrame, bare: DataFrame, sets: DataFrame) -> None:
+        """Find all partners in other components of the nodes of ``rows`` by allocated look-ups, and compare them.
+
+        ``bare`` nodes may agree with a partner in empty segments only, so they need no row.
+        """
+        # What a look-up meets: sets of other components in the band of the smaller one.
+        here = self.store.keep(rows.where("own").groupBy("subset", "component").agg(F.count(F.lit(1)).alias("here")), "met-here")
+        everywhere = self.store.keep(here.groupBy("subset").agg(F.sum("here").alias("everywhere")), "met")
+        met = rows.join(everywhere, "subset").join(here, ["subset", "component"], "left").withColumn(
+            "met", F.col("everywhere") - F.coalesce("here", F.lit(0))
+        )
+        listed = met.groupBy(*NODE, "component").agg(F.sort_array(F.collect_list(F.struct("met", "subset"))).alias("costs"))
+        alone = self.placed(bare.join(rows.select("node").distinct(), "node", "left_anti"))
+        listed = listed.unionByName(alone.select(*NODE, "component", F.array().cast("array<struct<met: long, subset: long>>").alias("costs")))
+        plans = self.store.keep(_planned(listed, self.percent), "plans")
+        bands = plans.groupBy("band").agg(
+            F.sum(F.when(F.col("dear"), F.col("cost"))).alias("saved"), F.sum(F.when(F.col("own"), F.col("n"))).alias("price"),
+            F.max("bare").alias("bare"),
+        )
+        near_bands = bands.where("saved > price OR bare").select("band")
+        plain = plans.join(near_bands.withColumn("dear", F.lit(True)), ["band", "dear"], "left_anti")
+        probes = self.store.keep(
+            plain.select(*NODE, "component", "all", F.explode("subsets").alias("subset")), "probes"
+        )
+        index = rows.where("own").select("subset", *(F.col(c).alias(f"{c}_y") for c in ("vertex", "n", "empty", "component")))
+        # Sets that differ in H tokens agree in all but H segments; empty ones leave no row.
+        agree = F.col("segments") - F.floor((F.col("n") + F.col("n_y")) * (100 - self.percent) / (100 + self.percent)) - F.least("empty", "empty_y")
+        pairs = (
+            probes.join(self.store.keep(index, "index"), "subset").where("component <> component_y").where(self.smaller())
+            .where(self.large_enough("n", "n_y")).groupBy("vertex", "vertex_y")
+            .agg(F.count(F.lit(1)).alias("agreed"), F.min(F.when(F.col("all"), agree).otherwise(1)).alias("needed")).where("agreed >= needed")
+        )
+        found = pairs.select(F.least("vertex", "vertex_y").alias("a"), F.greatest("vertex", "vertex_y").alias("b"))
+        near = self.store.keep(near_bands, "near-bands")
+        if not near.isEmpty():
+            found = found.unionByName(self.near_pairs(plans.join(near, "band"), sets)).distinct()
+        self.compare(found, sets, "allocated")
+
+    def smaller(self):
+        """A node looks up sets of at most its own size, so every pair is met from one side."""
+        return (F.col("n") > F.col("n_y")) | ((F.col("n") == F.col("n_y")) & (F.col("vertex") > F.col("vertex_y")))
+
+    def near_pairs(self, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+        """Candidates (a, b) of the dear nodes among ``nodes``, all of some bands, by subsets and one-deletion neighbourhoods."""
         looked = self.store.keep(_all_subsets(nodes.join(sets, "vertex"), self.percent), "subsets")
         here = looked.groupBy("subset", "component").agg(
             F.count_if(F.expr("NOT deleted AND own")).alias("whole"), F.count_if(F.expr("deleted AND own")).alias("less")
         )
         here = self.store.keep(here, "subset-components")
         everywhere = self.store.keep(
-            here.groupBy("subset").agg(F.sum("whole").alias("all_whole"), F.sum("less").alias("all_less"))
-            .where("all_whole > 0"), "subset-counts",
+            here.groupBy("subset").agg(F.sum("whole").alias("all_whole"), F.sum("less").alias("all_less")).where("all_whole + all_less > 0"),
+            "subset-counts",
         )
         # Rows of other components that each look-up would meet.
+        others = {c: F.coalesce(F.col(f"all_{c}") - F.coalesce(F.col(c), F.lit(0)), F.lit(0)) for c in ("whole", "less")}
         cost = (
-            looked.join(everywhere, "subset", "left").join(here, ["subset", "component"], "left")
+            looked.where("dear").join(everywhere, "subset", "left").join(here, ["subset", "component"], "left")
             .select(
-                "node", "segment",
-                F.when(F.col("deleted"), 0).otherwise(F.coalesce(F.col("all_whole") - F.col("whole"), F.lit(0))).alias("first"),
-                F.when(F.col("deleted"), F.coalesce(F.col("all_whole") - F.col("whole"), F.lit(0)))
-                .otherwise(F.coalesce(F.col("all_less") - F.col("less"), F.lit(0))).alias("second"),
+                "node", "n", "segment", F.when(F.col("deleted"), 0).otherwise(others["whole"]).alias("first"),
+                F.when(F.col("deleted"), others["whole"]).otherwise(others["less"]).alias("second"),
             )
-            .groupBy("node", "segment").agg(F.sum("first").alias("first"), F.sum("second").alias("second"))
+            .groupBy("node", "n", "segment").agg(F.sum("first").alias("first"), F.sum("second").alias("second"))
         )
         # The segments of one set.
-        listed = cost.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("segment", "first", "second"))).alias("costs"))
-        chosen = self.store.keep(_allocated(listed.join(nodes.select("node", "n"), "node"), self.percent), "chosen")
+        listed = cost.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("segment", "first", "second"))).alias("costs"))
+        chosen = self.store.keep(_allocated(listed, self.percent), "chosen")
         probes = (
             looked.join(chosen, ["node", "segment"]).where("NOT deleted OR worth = 2")
             .select("subset", "vertex", "n", "component", "deleted", "worth")
         )
-        index = looked.where("own").select(
-            "subset", F.col("vertex").alias("vertex_y"), F.col("n").alias("n_y"), F.col("component").alias("component_y"),
-            F.col("deleted").alias("deleted_y"),
-        )
-        pairs = (
-            self.store.keep(probes, "probes").join(self.store.keep(index, "index"), "subset")
+        index = looked.where("own").select("subset", *(F.col(c).alias(f"{c}_y") for c in ("vertex", "n", "component", "deleted")))
+        return (
+            self.store.keep(probes, "near-probes").join(self.store.keep(index, "near-index"), "subset")
             .where("component <> component_y AND NOT (deleted AND deleted_y) AND (worth = 2 OR NOT deleted_y)")
-            .where("n > n_y OR (n = n_y AND vertex > vertex_y)").where(self.large_enough("n", "n_y"))
+            .where(self.smaller()).where(self.large_enough("n", "n_y"))
             .select(F.least("vertex", "vertex_y").alias("a"), F.greatest("vertex", "vertex_y").alias("b")).distinct()
         )
-        self.compare(pairs, sets, "allocated")
+
+
+def _planned(nodes: DataFrame, percent: int) -> DataFrame:
+    """The look-ups of every node: all of its shared subsets where that costs little more, else the cheapest that do.
+
+    ``nodes``: the columns of NODE, component, and costs, the shared subsets with the rows that each meets, rarest
+    first.  Segments that share nothing are worth one each and cost nothing; empty ones count as skipped.  ``dear``
+    marks nodes with more rows to meet than ``DEAR`` times their tokens, ``bare`` those for which whole subsets cannot
+    be worth enough because too many segments are empty.
+    """
+
+    def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            plain = rows.drop_columns(["costs"])
+            chosen, everything, price, dear, bare = [], [], [], [], []
+            columns = (plain.column(c).to_pylist() for c in ("n", "band", "segments", "empty"))
+            for n, band, segments, empty, costs in zip(*columns, rows.column("costs").to_pylist()):
+                top = int(_BOUNDS[band + 1]) - 1
+                free = segments - empty - len(costs)
+                lacking = max(0, may_differ(n + min(n, top), percent) + 1 - free)
+                met = [c["met"] for c in costs]
+                least, whole = sum(met[:lacking]), sum(met)
+                looks_all = lacking > 0 and whole <= 2 * least + n
+                chosen.append([c["subset"] for c in (costs if looks_all else costs[:lacking]) if c["met"]])
+                everything.append(looks_all)
+                price.append(least)
+                bare.append(lacking > len(costs))
+                dear.append(least > DEAR * n or lacking > len(costs))
+            kinds = [pa.list_(pa.int64()), pa.bool_(), pa.int64(), pa.bool_(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays(
+                [*plain.columns, *(pa.array(c, k) for c, k in zip((chosen, everything, price, dear, bare), kinds))],
+                [*plain.schema.names, "subsets", "all", "cost", "dear", "bare"],
+            )
+
+    return nodes.mapInArrow(computed, f"{_NODE_SCHEMA}, component long, subsets array<long>, all boolean, cost long, dear boolean, bare boolean")
 
 
 def _all_subsets(nodes: DataFrame, percent: int) -> DataFrame:
-    """Subsets of all compared segments of every node, empty ones too, and those with one token deleted."""
-    columns = ["node", "vertex", "n", "component"]
+    """Subsets of all segments of every node, empty ones too, and those with one token deleted."""
+    numbers = ["node", "vertex", "n", "component"]
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            tokens_of = rows.column(4)
+            tokens_of = rows.column("tokens")
             for k in range(rows.num_rows):
-                tokens = np.asarray(tokens_of[k].values.to_numpy()).view(np.uint64)
-                below = rows.column(0)[k].as_py() & 1
-                band = band_of(len(tokens)) - below
-                need = compared_segments(len(tokens), band, percent)
-                sums, _, hashes, segment = subset_hashes(tokens, band, need, percent)
-                inside = segment < need
-                left_out = _named(sums[segment[inside]] - tokens[inside], segment[inside], band)
-                count = need + len(left_out)
+                tokens = tokens_of[k].values.to_numpy().view(np.uint64)
+                band = rows.column("band")[k].as_py()
+                sums, _, hashes, segment = subset_hashes(tokens, band, percent)
+                left_out = _named(sums[segment] - tokens, segment, band)
+                count = len(hashes) + len(left_out)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(pa.array(np.full(count, rows.column(c)[k].as_py(), np.int64)) for c in range(4)),
-                        pa.array(np.concatenate([np.arange(need), segment[inside]])), pa.array(np.concatenate([hashes, left_out])),
-                        pa.array(np.arange(count) >= need), pa.array(np.full(count, not below)),
+                        *(pa.array(np.full(count, rows.column(c)[k].as_py(), np.int64)) for c in numbers),
+                        pa.array(np.concatenate([np.arange(len(hashes)), segment])), pa.array(np.concatenate([hashes, left_out])),
+                        pa.array(np.arange(count) >= len(hashes)), *(pa.array(np.full(count, rows.column(c)[k].as_py())) for c in ("own", "dear")),
                     ],
-                    [*columns, "segment", "subset", "deleted", "own"],
+                    [*numbers, "segment", "subset", "deleted", "own", "dear"],
                 )
 
-    return nodes.select(*columns, "tokens").mapInArrow(
-        computed, "node long, vertex long, n long, component long, segment long, subset long, deleted boolean, own boolean"
+    return nodes.select(*numbers, "band", "own", "dear", "tokens").mapInArrow(
+        computed, "node long, vertex long, n long, component long, segment long, subset long, deleted boolean, own boolean, dear boolean"
     )
 
 
@@ -357,34 +455,32 @@ def _token_sets(texts: DataFrame, size: int) -> DataFrame:
 def linked_sets(vertices: DataFrame, store: Store, size: int, percent: int) -> DataFrame:
     """vertex and component of all vertices that are linked to another one.
 
-    ``vertices``: vertex, text, n, own, own_empty, below, below_empty of distinct sets.
+    ``vertices``: vertex, text, n and parts of distinct sets, see ``measured``.
     """
-    sides = F.array(
-        F.struct((F.col("vertex") * 2).alias("node"), F.col("own").alias("subsets"), F.col("own_empty").alias("empty")),
-        F.struct((F.col("vertex") * 2 + 1).alias("node"), F.col("below").alias("subsets"), F.col("below_empty").alias("empty")),
+    nodes = vertices.select("vertex", "n", F.explode("parts").alias("p")).select(
+        F.expr("vertex * 2 + if(p.own, 0, 1)").alias("node"), "vertex", "n", *(f"p.{c}" for c in NODE[3:]), "p.subsets"
     )
-    nodes = vertices.select("vertex", "n", F.explode(sides).alias("s")).select("vertex", "n", "s.node", "s.subsets", "s.empty").where("size(subsets) > 0")
-    empty = nodes.select("node", "empty")
     shared = store.keep(
         nodes.select(F.explode("subsets").alias("subset"), "node").repartitionByRange("subset", "node").sortWithinPartitions("subset", "node")
         .mapInArrow(_held_in_common, "subset long, node long"),
         "shared",
     )
     kept = store.keep(
-        shared.groupBy("node").agg(F.count(F.lit(1)).alias("shared")).join(nodes.select("node", "vertex", "n", "empty"), "node")
-        .where(f"shared + empty > {SPARE}").select("node", "vertex", "n"),
-        "kept",
+        shared.groupBy("node").agg(F.count(F.lit(1)).alias("shared")).join(nodes.select(*NODE), "node").where(OPEN).select(*NODE), "kept"
     )
     join = Join(store, percent)
-    rows = join.open_rows(store.keep(shared.join(kept, "node"), "rows"), empty, "first")
-    wanted = store.keep(rows.select("vertex").distinct(), "wanted")
+    rows = join.open_rows(store.keep(shared.join(kept, "node"), "rows"), "first")
+    bare = store.keep(nodes.where("empty >= segments - budget").select(*NODE), "bare")
+    wanted = store.keep(rows.select("vertex").unionByName(bare.select("vertex")).distinct(), "wanted")
     sets = store.keep(_token_sets(vertices.join(wanted, "vertex", "left_semi"), size), "sets")
     for turn in range(ROUNDS):
         if rows.isEmpty():
             break
-        join.compare_neighbours(rows, sets, turn)
-        rows = join.open_rows(rows.drop("component"), empty, f"{turn}")
-    join.compare_allocated(rows, sets)
+        more = join.compare_neighbours(rows, sets, turn)
+        rows = join.open_rows(rows.drop("component"), f"{turn}")
+        if not more:
+            break
+    join.compare_allocated(rows, bare, sets)
     return join.components()
 
 
@@ -401,7 +497,7 @@ def similar_documents(documents: DataFrame, size: int = SHINGLE, percent: int =
     classes = store.keep(
         rows.where("n > 0").groupBy("digest").agg(F.min("vertex").alias("vertex"), F.min("doc_id").alias("lowest")), "classes"
     )
-    firsts = rows.join(classes.select("vertex"), "vertex", "left_semi").where("size(own) > 0")
+    firsts = rows.join(classes.select("vertex"), "vertex", "left_semi").where("size(parts) > 0")
     linked = linked_sets(firsts, store, size, percent)
     member = store.keep(
         classes.join(linked, "vertex", "left").withColumn("component", F.coalesce("component", "vertex")), "members"

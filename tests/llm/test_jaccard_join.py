@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stackplume.llm import jaccard_join
 from stackplume.llm.common import table
@@ -89,17 +90,38 @@ def test_nothing_to_link(spark, docs):
     assert got(jaccard_join.similar_documents(spark.createDataFrame(docs, SCHEMA))) == brute_force(docs)
 
 
-def test_pairs_at_the_bound_agree_in_more_than_the_spare_segments():
-    """The pigeonhole itself: sets that are just alike share subsets beyond SPARE in the band of the smaller one."""
+def test_neighbourhoods_alone_find_every_link(spark, edited, monkeypatch):
+    """Every band asks for one-deletion neighbourhoods, and no neighbours in shuffled orders are compared before."""
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard_join, "DEAR", -1.0)
+    plan = jaccard_join._planned
+    monkeypatch.setattr(jaccard_join, "_planned", lambda nodes, percent: plan(nodes, percent).withColumn("bare", F.lit(True)).withColumn("dear", F.lit(True)))
+    assert got(jaccard_join.similar_documents(spark.createDataFrame(edited, SCHEMA))) == brute_force(edited)
+
+
+def test_all_tokens_in_one_segment(spark):
+    """Subsets agree in empty segments only; the link is one deletion away."""
+    band = jaccard_join.band_of(7)
+    for start in range(5000):
+        words = [f"q{start}x{i}" for i in range(10)]
+        if len(set(jaccard_join.subset_hashes(jaccard_join.shingles(" ".join(words)), band)[3])) == 1:
+            break
+    docs = [(1, " ".join(words)), (2, " ".join(words[:9])), (3, "other words that are not alike at all in any way")]
+    assert brute_force(docs)[1] == (2, 6, 1)
+    assert got(jaccard_join.similar_documents(spark.createDataFrame(docs, SCHEMA))) == brute_force(docs)
+
+
+def test_pairs_at_the_bound_agree_in_all_but_their_budget():
+    """The pigeonhole itself, in the band of the smaller set."""
     draw = np.random.default_rng(2)
     for size in [7, 8, 13, 20, 57, 150, 700]:
         for _ in range(30):
             larger = draw.integers(0, 1 << 63, size, np.uint64) << np.uint64(1)
             smaller = larger[: -(-85 * size // 100)]
             band = jaccard_join.band_of(len(smaller))
-            sides = [jaccard_join.subset_hashes(x, band, jaccard_join.compared_segments(len(x), band)) for x in (larger, smaller)]
-            both = min(len(s[2]) for s in sides)
-            assert both and (sides[0][2][:both] == sides[1][2][:both]).sum() > jaccard_join.SPARE
+            one, other = (jaccard_join.subset_hashes(x, band)[2] for x in (larger, smaller))
+            budget = min(jaccard_join.budget_in(len(x), band) for x in (larger, smaller))
+            assert 0 < budget and (one == other).sum() >= len(one) - budget > jaccard_join.SPARE
 
 
 def test_allocation_is_worth_what_is_needed_and_the_cheapest():
