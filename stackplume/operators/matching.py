@@ -8,32 +8,40 @@ from pyspark.sql import functions as F
 from stackplume import constants as C
 from stackplume.functions import risk as rk
 from stackplume.functions.text import reading_key
-from stackplume.operators.aggregates import attach, column_means, scalars
+from stackplume.operators.aggregates import attach, column_means
 from stackplume.operators.windows import first_per_key
+from stackplume.session import ensure_checkpoint_dir
+
+
+def city_levels(readings: DataFrame, order: list, max_km: float) -> DataFrame:
+    """One stored row per city from one scan: sums and counts of every pollutant, and its first nearby reading."""
+    ensure_checkpoint_dir(readings.sparkSession)
+    nearby = F.col("nearest_factory_distance_km") <= max_km
+    # The smallest struct is the first row in ``order``, NULLs first, since order columns come before the values.
+    places = [c.alias(f"o{i}") for i, c in enumerate(order)]
+    first = F.min(F.when(nearby, F.struct(*places, F.struct(*C.POLLUTANTS).alias("values"))))["values"]
+    return readings.groupBy("city").agg(
+        first.alias("_direct_values"), F.max(nearby).alias("_direct"),
+        *[F.sum(p).alias(f"_sum_{p}") for p in C.POLLUTANTS], *[F.count(p).alias(f"_count_{p}") for p in C.POLLUTANTS],
+    ).checkpoint()
 
 
 def match_readings(sites: DataFrame, readings: DataFrame, order: list, max_km: float = 100.0) -> DataFrame:
     """One pollutant row per site: the first nearby reading of its city in ``order``, else the city mean, else the mean
-    of all readings.  ``match_tier`` says which.  The readings are reduced to one row per city before any join.
+    of all readings.  ``match_tier`` says which.  The readings are read once and reduced to one row per city; the means
+    of all readings are rolled up from the cities.
     """
-    pollutants = C.POLLUTANTS
-    nearby = readings.where(F.col("nearest_factory_distance_km") <= max_km)
-    direct = first_per_key(nearby, ["city"], order).select(
-        "city", F.lit(True).alias("_direct"), F.struct(*pollutants).alias("_direct_values")
+    levels = city_levels(readings, order, max_km)
+    mean = lambda p, total: F.try_divide(total(f"_sum_{p}"), total(f"_count_{p}")).alias(p)
+    by_city = levels.select(
+        "city", "_direct", "_direct_values", F.struct(*[mean(p, F.col) for p in C.POLLUTANTS]).alias("_city_values")
     )
-    means = column_means(readings, pollutants, ["city"]).select("city", F.struct(*pollutants).alias("_city_values"))
-    national = scalars(column_means(readings, pollutants))
-    by_city = means.join(direct, "city", "left")
-    values = F.when(F.col("_direct"), F.col("_direct_values")).when(
-        F.col("_city_values").isNotNull(), F.col("_city_values")
-    ).otherwise(national)
-    tier = F.when(F.col("_direct"), F.lit("station")).when(
-        F.col("_city_values").isNotNull(), F.lit("city")
-    ).otherwise(F.lit("national"))
-    return (
-        sites.join(by_city, "city", "left")
-        .withColumns({"_values": values, "match_tier": tier})
-        .select(*sites.columns, *[F.col(f"_values.{p}").alias(p) for p in pollutants], "match_tier")
+    known = attach(sites.join(by_city, "city", "left"), levels.agg(*[mean(p, F.sum) for p in C.POLLUTANTS]), "_national")
+    in_city = F.col("_city_values").isNotNull()
+    values = F.when(F.col("_direct"), F.col("_direct_values")).when(in_city, F.col("_city_values")).otherwise(F.col("_national"))
+    tier = F.when(F.col("_direct"), F.lit("station")).when(in_city, F.lit("city")).otherwise(F.lit("national"))
+    return known.withColumns({"_values": values, "match_tier": tier}).select(
+        *sites.columns, *[F.col(f"_values.{p}").alias(p) for p in C.POLLUTANTS], "match_tier"
     )
 
 
