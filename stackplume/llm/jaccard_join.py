@@ -40,8 +40,10 @@ SPARE = 2
 BAND_RATIO = 3
 #: Most rounds in which sets are compared with their neighbours in a shuffled order, and comparisons of a set in each.
 #: Rounds end when one adds less than a tenth to the links.
-ROUNDS = 8
+ROUNDS = 3
 NEIGHBOURS = 2
+#: Bits of the parities that are compared before whole sets are.
+PARITY_BITS = 1024
 #: A set with more rows to look up than this share of its tokens asks for neighbourhoods.
 DEAR = 1.0
 
@@ -223,10 +225,15 @@ class Join:
     def compare(self, pairs: DataFrame, sets: DataFrame, name: str) -> bool:
         """Add the pairs (a, b) that are alike to the links; true if they are a tenth of all links or more."""
         pairs = self.store.keep(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"), f"pairs-{name}")
+        # Tokens that differ flip a bit of a set's parities each or cancel out, so parities never differ in more bits.
+        a, b = (sets.select(F.col("vertex").alias(side), F.size("tokens").alias(f"n_{side}"), F.col("parities").alias(f"p_{side}")) for side in "ab")
+        differing = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+        near = pairs.join(a, "a").join(b, "b").where(differing * (100 + self.percent) <= (F.col("n_a") + F.col("n_b")) * (100 - self.percent))
+        near = self.store.keep(near.select("a", "b"), f"near-{name}")
         a, b = (sets.select(F.col("vertex").alias(side), F.col("tokens").alias(f"of_{side}")) for side in "ab")
         common = F.size(F.array_intersect("of_a", "of_b"))
         either = F.size("of_a") + F.size("of_b") - common
-        alike = pairs.join(a, "a").join(b, "b").where(common * 100 >= either * self.percent).select("a", "b")
+        alike = near.join(a, "a").join(b, "b").where(common * 100 >= either * self.percent).select("a", "b")
         found = self.store.keep(alike, f"links-{name}")
         self.links = found if self.links is None else self.links.unionByName(found)
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
@@ -303,11 +310,34 @@ class Join:
             .where(self.large_enough("n", "n_y")).groupBy("vertex", "vertex_y")
             .agg(F.count(F.lit(1)).alias("agreed"), F.min(F.when(F.col("all"), agree).otherwise(1)).alias("needed")).where("agreed >= needed")
         )
-        found = pairs.select(F.least("vertex", "vertex_y").alias("a"), F.greatest("vertex", "vertex_y").alias("b"))
+        found = pairs.select(
+            F.least("vertex", "vertex_y").alias("a"), F.greatest("vertex", "vertex_y").alias("b"), (F.col("agreed") - F.col("needed")).alias("surplus")
+        )
         near = self.store.keep(near_bands, "near-bands")
         if not near.isEmpty():
-            found = found.unionByName(self.near_pairs(plans.join(near, "band"), sets)).distinct()
-        self.compare(found, sets, "allocated")
+            found = found.unionByName(self.near_pairs(plans.join(near, "band"), sets).withColumn("surplus", F.lit(0).cast("bigint")))
+        found = self.store.keep(found.groupBy("a", "b").agg(F.max("surplus").alias("surplus")), "candidates")
+        # The likeliest candidates of every set first: what they connect needs no comparison any more.
+        for turn in range(ROUNDS):
+            found = self.still_apart(found, f"{turn}")
+            best = found.withColumn("of", F.explode(F.array("a", "b"))).groupBy("of").agg(
+                *(F.max(F.struct("surplus", F.xxhash64(F.lit(k), "a", "b"), "a", "b")).alias(f"best{k}") for k in range(NEIGHBOURS))
+            )
+            best = best.select(F.explode(F.array(*(f"best{k}" for k in range(NEIGHBOURS)))).alias("p")).select("p.a", "p.b").distinct()
+            if not self.compare(best, sets, f"likeliest{turn}"):
+                break
+        self.compare(self.still_apart(found, "last").select("a", "b"), sets, "allocated")
+
+    def still_apart(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b, surplus) that are neither connected nor compared yet."""
+        if self.links is None:
+            return pairs
+        of = self.store.keep(self.components(), f"components-{name}")
+        a, b = (of.select(F.col("vertex").alias(side), F.col("component").alias(f"of_{side}")) for side in "ab")
+        apart = pairs.join(a, "a", "left").join(b, "b", "left").where(
+            F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
+        ).select("a", "b", "surplus")
+        return self.store.keep(apart.join(self.tested, ["a", "b"], "left_anti"), f"apart-{name}")
 
     def smaller(self):
         """A node looks up sets of at most its own size, so every pair is met from one side."""
@@ -446,10 +476,19 @@ def _allocated(nodes: DataFrame, percent: int) -> DataFrame:
 def _token_sets(texts: DataFrame, size: int) -> DataFrame:
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            sets = [shingles(t, size).view(np.int64) for t in rows.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sets, pa.list_(pa.int64()))], ["vertex", "tokens"])
+            sets = [shingles(t, size) for t in rows.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0), *(pa.array([x.view(np.int64) for x in column], pa.list_(pa.int64())) for column in (sets, map(parities, sets)))],
+                ["vertex", "tokens", "parities"],
+            )
+
+    return texts.select("vertex", "text").mapInArrow(computed, "vertex long, tokens array<long>, parities array<long>")
+
 
-    return texts.select("vertex", "text").mapInArrow(computed, "vertex long, tokens array<long>")
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """For each of ``PARITY_BITS`` bits whether an odd number of tokens falls on it, as 64-bit words."""
+    odd = np.bincount((tokens % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def linked_sets(vertices: DataFrame, store: Store, size: int, percent: int) -> DataFrame:
