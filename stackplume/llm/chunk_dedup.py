@@ -60,16 +60,17 @@ def chunk_ends(data: bytes) -> list[int]:
     return ends
 
 
-CHUNK = "d1 long, d2 int, doc_id {id}, spot long"
+CHUNK = "d1 long, d2 int, doc_id {id}, spot long, k long"
 
 
-def _text_key(data: bytes) -> int:
-    """31 bits that tell texts with one doc_id apart."""
-    return xxhash.xxh3_64_intdigest(data) >> 33
+def _text_key(data: bytes) -> tuple[int, int]:
+    """31 and 64 bits of one digest that tell texts with one doc_id, or without one, apart."""
+    value = xxhash.xxh3_128_intdigest(data)
+    return value >> 97, (value & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
 
 def chunks(documents: DataFrame) -> DataFrame:
-    """d1, d2 (digest of 96 bits), doc_id and spot (key of the text, then the position) of every chunk.
+    """d1, d2 (digest of 96 bits), doc_id, spot (31 bits of the text's key, then the position) and k (its other bits).
 
     These rows are the bulk of what is shuffled, so they hold nothing else; sizes follow from the text.
     """
@@ -94,13 +95,14 @@ def chunks(documents: DataFrame) -> DataFrame:
                     continue
                 owner = np.repeat(np.arange(len(counts)), counts)
                 both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                spots = (np.array(keys, np.int64)[owner] << 32) | np.array(begins, np.int64)
+                high, low = (np.array(x, np.int64)[owner] for x in zip(*keys))
+                spots = (high << 32) | np.array(begins, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(both[:, 0]), pa.array((both[:, 1] >> 32).astype(np.int32)),
-                        part.column(0).take(pa.array(owner)), pa.array(spots),
+                        part.column(0).take(pa.array(owner)), pa.array(spots), pa.array(low),
                     ],
-                    ["d1", "d2", "doc_id", "spot"],
+                    ["d1", "d2", "doc_id", "spot", "k"],
                 )
 
     return documents.select("doc_id", "text").mapInArrow(cut, CHUNK.format(id=id_type))
@@ -115,7 +117,7 @@ def dedupe(documents: DataFrame, least_bytes: int = 80) -> DataFrame:
     judged alike; a NULL doc_id comes last; an empty table gives no rows; other columns are ignored.
     """
     found = chunks(documents)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "spot")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "spot", "k")
     # Stored before the join, because adaptive execution splits a hot chunk only where both sides come from a shuffle.
     classes = Store(documents.sparkSession, "chunks").keep(
         found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -126,10 +128,10 @@ def dedupe(documents: DataFrame, least_bytes: int = 80) -> DataFrame:
     later = ~place.eqNullSafe(F.col("first"))
     repeated = (
         found.join(classes, ["d1", "d2"])
-        .select("doc_id", F.shiftright("spot", 32).alias("k"), F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at"), later.alias("later"), F.col("first.doc_id").alias("first_doc"))
-        .groupBy("doc_id", "k")
+        .select("doc_id", F.shiftright("spot", 32).alias("j"), "k", F.col("spot").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("at"), later.alias("later"), F.col("first.doc_id").alias("first_doc"))
+        .groupBy("doc_id", "j", "k")
         .agg(F.collect_set(F.struct("at", "later", "first_doc")).alias("repeats"))
-        .select(F.col("doc_id").alias("_id"), F.col("k").alias("_k"), "repeats")
+        .select(F.col("doc_id").alias("_id"), F.col("j").alias("_j"), F.col("k").alias("_k"), "repeats")
     )
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
@@ -137,13 +139,14 @@ def dedupe(documents: DataFrame, least_bytes: int = 80) -> DataFrame:
         packer = zstandard.ZstdCompressor(level=3)
         for rows in batches:
             texts = [(t or "").encode("utf-8", "replace") for t in rows.column(1).to_pylist()]
+            high, low = zip(*(_text_key(t) for t in texts)) if texts else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array([_text_key(t) for t in texts], pa.int64()), pa.array([packer.compress(t) for t in texts], pa.binary())],
-                ["doc_id", "k", "packed"],
+                [rows.column(0), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array([packer.compress(t) for t in texts], pa.binary())],
+                ["doc_id", "j", "k", "packed"],
             )
 
-    texts = documents.select("doc_id", "text").mapInArrow(packed, f"doc_id {id_type}, k long, packed binary")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_k"))
+    texts = documents.select("doc_id", "text").mapInArrow(packed, f"doc_id {id_type}, j long, k long, packed binary")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("j") == F.col("_j")) & (F.col("k") == F.col("_k"))
     joined = texts.join(repeated, same, "left").select("doc_id", "packed", "repeats")
     first_type = joined.schema["repeats"].dataType.elementType["first_doc"].dataType.simpleString()
 
