@@ -133,7 +133,8 @@ def test_pages(spark):
         by_id.setdefault(r["page_id"], []).append((r["text"], r["n_chars"]))
     assert by_id[1] == [("T One, two. A & B", 17)] * 2
     assert by_id[2] == [("", 0)] and by_id[3] == [("", 0)]
-    assert len(by_id[4]) == 1
+    assert by_id[None] == [("just text", 9)]
+    assert by_id[4] == [(" ".join(["loose text"] * 3000), 11 * 3000 - 1)]
     assert html_extract.extract(spark.createDataFrame([], schema)).count() == 0
 
 
