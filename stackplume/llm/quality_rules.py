@@ -1,10 +1,12 @@
 """Quality rules with risk-controlled thresholds, in DataFrame expressions only.
 
-Every rule has a measure that is large for bad texts and a grid of cutoffs.  On labelled holdout rows, per stratum, a
-cutoff is certified when the exact binomial tail rejects the hypothesis that it turns away more than ``risk`` of the
-good texts: with k of n good texts above the cutoff, P(Binomial(n, risk) <= k) must be at most the error level.  The
-error level ``delta`` is shared evenly among all strata, rules and cutoffs (Bonferroni), so with probability 1 - delta
-no certified cutoff in any stratum breaks its risk.  A rule without a certified cutoff stays off.
+Every rule has a measure that is large for bad texts and a grid of cutoffs, one for each level.  On labelled holdout
+rows, per stratum, rules are taken together: at each level those that catch bad texts form a sequence, the best first,
+and each of its beginnings is a set of cutoffs.  A set is certified when the exact binomial tail rejects the hypothesis
+that it turns away more than ``risk`` of the good texts: with k of n good texts above any of its cutoffs,
+P(Binomial(n, risk) <= k) must be at most the error level.  The error level ``delta`` is shared evenly among all strata,
+levels and beginnings (Bonferroni), so with probability 1 - delta the verdict of no stratum breaks its risk.  A stratum
+without a certified set has no rule.
 """
 
 from __future__ import annotations
@@ -135,43 +137,64 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def certified_cutoffs(measured: DataFrame, risk: float = 0.01, delta: float = 0.05, least_gain: float = 0.05) -> DataFrame:
-    """stratum, rule, cutoff: one certified cutoff for every rule and stratum that has a useful one.
+    """stratum, rule, cutoff: a set of cutoffs for every stratum that has one certified as a whole.
 
     ``measured`` has doc_id, y (1 good, 0 bad) and the base measures.  One half of the good rows (by a hash of the id)
-    proposes the cutoffs and the other half tests them, so the test is not biased.  Rows that the base rules turn away
-    are not counted, since they never reach these rules.  Of the certified cutoffs the laxest is taken that still turns
-    away 95 % as many bad rows as the best one; a rule that catches less than ``least_gain`` of them stays off.
+    proposes the cutoffs and the other half tests them; bad rows order the rules, so the test is not biased.  Rows that
+    the base rules turn away are not counted, since they never reach these rules.  Of the certified sets that turn away
+    95 % as many bad rows as the best one, the laxest level and there the fewest rules are taken; a rule that catches
+    less than ``least_gain`` of the bad rows is in no set.
     """
+    names = list(MEASURES)
     proposes = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 0
     rows = measured.where(~base_failed()).select(
         stratum().alias("stratum"),
         F.when(F.col("y") == 0, "bad").when(proposes, "proposes").otherwise("tests").alias("role"),
-        F.explode(F.array(*[
-            F.struct(F.lit(name).alias("rule"), F.expr(m).cast("double").alias("value")) for name, m in MEASURES.items()
-        ])).alias("m"),
-    ).select("stratum", "role", "m.rule", "m.value")
-    proposed = rows.where("role = 'proposes'").groupBy("stratum", "rule").agg(
-        F.expr(f"percentile_approx(value, array({', '.join(map(str, GRID))}), 10000)").alias("cutoffs")
+        F.array(*[F.expr(m).cast("double") for m in MEASURES.values()]).alias("values"),
     )
-    above = F.col("value") > F.col("cutoff")
+    shares = f"array({', '.join(map(str, GRID))})"
+    proposed = rows.where("role = 'proposes'").groupBy("stratum").agg(
+        F.array(*[F.expr(f"percentile_approx(values[{i}], {shares}, 10000)") for i in range(len(names))]).alias("cutoffs")
+    )
+    levels = proposed.select("stratum", "cutoffs", F.explode(F.sequence(F.lit(0), F.lit(len(GRID) - 1))).alias("level")).select(
+        "stratum", "level", F.transform("cutoffs", lambda of_rule: F.get(of_rule, F.col("level"))).alias("cutoffs")
+    )
+    # A row for each stratum and level: at most three times the length of the grid.
+    caught = rows.where("role = 'bad'").join(F.broadcast(levels), "stratum").groupBy("stratum", "level").agg(
+        F.first("cutoffs").alias("cutoffs"),
+        F.array(*[F.avg((F.col("values")[i] > F.col("cutoffs")[i]).cast("double")) for i in range(len(names))]).alias("shares"),
+    )
+    ordered = F.array_sort(F.transform("cutoffs", lambda c, i: F.struct((-F.get("shares", i)).alias("share"), i.alias("rule"), c.alias("cutoff"))))
+    sets = materialise(
+        caught.select("stratum", "level", F.filter(ordered, lambda x: x["share"] <= -least_gain).alias("rules")).where("size(rules) > 0")
+    )
+    hits = F.transform("rules", lambda x, place: F.when(F.get("values", x["rule"]) > x["cutoff"], place + 1))
+    # The first rule of the sequence that turns a row away tells which of its beginnings do.
+    counted = (
+        rows.where("role <> 'proposes'").join(F.broadcast(sets), "stratum")
+        .select("stratum", "level", "role", F.size("rules").alias("rules"), F.array_min(hits).alias("first"))
+        .groupBy("stratum", "level", "rules", "first")
+        .agg(F.count_if(F.col("role") == "tests").alias("good"), F.count_if(F.col("role") == "bad").alias("bad"))
+    )
+    within = F.coalesce(F.col("first") <= F.col("taken"), F.lit(False))
     tested = (
-        rows.where("role <> 'proposes'")
-        .join(proposed.withColumn("cutoffs", F.array_distinct("cutoffs")), ["stratum", "rule"])
-        .select("stratum", "rule", "role", "value", F.explode("cutoffs").alias("cutoff"))
-        .groupBy("stratum", "rule", "cutoff")
+        counted.withColumn("taken", F.explode(F.sequence(F.lit(1), "rules"))).groupBy("stratum", "level", "taken")
         .agg(
-            F.count_if(F.col("role") == "tests").alias("n"),
-            F.count_if((F.col("role") == "tests") & above).alias("k"),
-            F.avg(F.when(F.col("role") == "bad", above.cast("double"))).alias("caught"),
+            F.sum("good").alias("n"), F.sum(F.when(within, F.col("good")).otherwise(0)).alias("k"),
+            (F.sum(F.when(within, F.col("bad")).otherwise(0)) / F.sum("bad")).alias("caught"),
         )
     )
     tests = len(GRID) * len(MEASURES) * 3
     # From the mean upwards the tail is far above any error level, and its sum would only be long.
-    certified = tested.where((F.col("k") < risk * F.col("n")) & (binomial_tail(F.col("k"), F.col("n"), risk) <= delta / tests)).where(F.col("caught") >= least_gain)
-    best = certified.groupBy("stratum", "rule").agg(F.max("caught").alias("best"))
+    certified = tested.where((F.col("k") < risk * F.col("n")) & (binomial_tail(F.col("k"), F.col("n"), risk) <= delta / tests))
+    best = certified.groupBy("stratum").agg(F.max("caught").alias("best"))
+    taken = certified.join(best, "stratum").where("caught >= 0.95 * best").groupBy("stratum").agg(
+        F.max(F.struct("level", (-F.col("taken")).alias("less"))).alias("set")
+    )
     return (
-        certified.join(best, ["stratum", "rule"]).where("caught >= 0.95 * best")
-        .groupBy("stratum", "rule").agg(F.max("cutoff").alias("cutoff"))
+        taken.select("stratum", "set.level", (-F.col("set.less")).alias("taken")).join(sets, ["stratum", "level"])
+        .select("stratum", F.explode(F.slice("rules", F.lit(1), F.col("taken"))).alias("r"))
+        .select("stratum", F.element_at(F.array(*map(F.lit, names)), F.col("r.rule") + 1).alias("rule"), "r.cutoff")
     )
 
 
@@ -181,7 +204,7 @@ def apply_rules(documents: DataFrame, labels: DataFrame, risk: float = 0.01, del
     NULL and empty texts count nothing and fail the base rule; repeated rows are judged alike; a NULL doc_id is judged
     but never learned from; an empty table gives no rows, and without labels only the base rules judge.  Other columns
     are ignored.  The holdout is all labelled rows that training may see, joined to the documents' measures by id.
-    ``risk`` holds for each rule and stratum, so all rules together turn away at most len(MEASURES) times that.
+    ``risk`` holds for all rules together in each stratum.
     """
     judged = materialise(base_measures(documents, "doc_id"))
     measured = materialise(judged.join(all_training_labels(labels, "quality"), "doc_id"))
