@@ -214,13 +214,16 @@ class Join:
         self.links: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.linked = 0
+        self.known: DataFrame | None = None
 
     def large_enough(self, n: str, m: str):
         return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
 
     def components(self) -> DataFrame:
-        """vertex and component of all linked vertices."""
-        return connected_components(self.links)
+        """vertex and component of all linked vertices, found again only when links were added."""
+        if self.known is None:
+            self.known = self.store.keep(connected_components(self.links), f"components-{self.linked}")
+        return self.known
 
     def compare(self, pairs: DataFrame, sets: DataFrame, name: str) -> bool:
         """Add the pairs (a, b) that are alike to the links; true if they are a tenth of all links or more."""
@@ -239,6 +242,7 @@ class Join:
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         added = found.count()
         self.linked += added
+        self.known = None if added else self.known
         return added * 10 >= self.linked > 0
 
     def open_rows(self, rows: DataFrame, name: str) -> DataFrame:
@@ -332,7 +336,7 @@ class Join:
         """The pairs (a, b, surplus) that are neither connected nor compared yet."""
         if self.links is None:
             return pairs
-        of = self.store.keep(self.components(), f"components-{name}")
+        of = self.components()
         a, b = (of.select(F.col("vertex").alias(side), F.col("component").alias(f"of_{side}")) for side in "ab")
         apart = pairs.join(a, "a", "left").join(b, "b", "left").where(
             F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
