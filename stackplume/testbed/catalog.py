@@ -46,7 +46,7 @@ class Inputs:
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """All registered queries and oracles."""
     from stackplume.testbed import (  # noqa: F401
-        queries_aggregates, queries_cleaning, queries_joins, queries_jobs, queries_learning, queries_reports,
+        queries_aggregates, queries_cleaning, queries_joins, queries_jobs, queries_stored, queries_learning, queries_reports,
         queries_scalars, queries_sources, queries_streaming, queries_windows,
     )
 
