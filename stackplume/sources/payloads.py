@@ -16,10 +16,20 @@ def _given(value: Column) -> Column:
     return F.when(value != "", value)
 
 
+def _parsed(df: DataFrame, payload: str, schema: str, name: str) -> DataFrame:
+    """Every payload parsed once, as column ``name`` beside the other columns.
+
+    The parsed object leaves a generator: filters on it stay above, where otherwise each condition and each field
+    would parse (and make) the whole payload again.
+    """
+    rest = [c for c in df.columns if c != payload]
+    return df.select(*rest, F.inline(F.array(F.struct(F.from_json(payload, schema).alias(name)))))
+
+
 def parse_site_elements(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Map elements to site rows; elements without a position are dropped.  Other columns are kept."""
     rest = [c for c in df.columns if c != payload]
-    parsed = df.select(*rest, F.from_json(payload, schemas.SITE_ELEMENT).alias("e"))
+    parsed = _parsed(df, payload, schemas.SITE_ELEMENT, "e")
     kind = F.regexp_replace(F.trim(F.coalesce("e.type", F.lit(""))), "/", "_")
     local = F.coalesce("e.id", F.lit(""))
     osm_id = F.when(local == "", local).when(kind == "", local).otherwise(F.concat_ws("_", kind, local))
@@ -56,8 +66,7 @@ def parse_measurements(df: DataFrame, payload: str = "payload", requested_city:
     ``requested_city`` names the column with the city the payload was fetched for; it replaces a missing city.
     """
     rest = [c for c in df.columns if c != payload]
-    m = F.from_json(payload, schemas.MEASUREMENT)
-    parsed = df.select(*rest, m.alias("m"))
+    parsed = _parsed(df, payload, schemas.MEASUREMENT, "m")
     # A nested object read as text keeps its JSON, from which the name is taken.
     named = lambda c: F.when(F.col(c).startswith("{"), F.get_json_object(c, "$.name")).otherwise(F.col(c))
     parameter = F.lower(F.coalesce(named("m.parameter"), F.lit("")))
@@ -84,7 +93,7 @@ def parse_measurements(df: DataFrame, payload: str = "payload", requested_city:
 def parse_open_records(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Open-data records to long rows; unknown pollutants and unreadable times are dropped, bad numbers are NULL."""
     rest = [c for c in df.columns if c != payload]
-    parsed = df.select(*rest, F.from_json(payload, schemas.OPEN_RECORD).alias("r"))
+    parsed = _parsed(df, payload, schemas.OPEN_RECORD, "r")
     pick = lambda *names: F.coalesce(*[_given(F.col(f"r.{n}")) for n in names])
     return parsed.select(
         *rest,

@@ -123,3 +123,13 @@ def test_whitespace_and_numbers(spark):
     rows = cl.coerce_numeric(cl.collapse_whitespace(df, ["t"]), ["n"]).collect()
     assert sorted((r["t"], r["n"] or 0.0) for r in rows) == [("", 0.0), ("a b", 1000.0)]
     assert df.select(F.lit(1)).count() == 2
+
+
+def test_payloads_are_parsed_once(spark):
+    """Neither filters nor fields repeat the parsing, nor the making, of a payload."""
+    rows = spark.range(3).select(F.col("id").alias("seq"), F.to_json(F.struct(F.col("id").alias("value"))).alias("payload"))
+    for parse in (payloads.parse_measurements, payloads.parse_open_records, payloads.parse_site_elements):
+        plan = parse(rows)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1 and plan.count("struct(value, id#") == 1
+    nothing = spark.createDataFrame([(1, None), (2, "broken")], "seq int, payload string")
+    assert payloads.parse_measurements(nothing).isEmpty() and payloads.parse_open_records(nothing).isEmpty()
