@@ -19,6 +19,7 @@ from stackplume.operators.nearest import city_centres
 from stackplume.operators.reports import order_by_score, top_critical
 from stackplume.plans import features, readings as rd, scoring, sites as st
 from stackplume.plans.training import evaluation_tables
+from stackplume.session import ensure_checkpoint_dir
 from stackplume.sources import sinks
 from stackplume.sources.payloads import normalise_backfill
 from stackplume.sources.scan import first_nonempty, stack_sources
@@ -83,11 +84,14 @@ def collect_readings(
     """First source of the order with any row, as a raw and a clean table below ``folder``.
 
     Sources that did not land count as empty; without any row a ValueError is raised and nothing is written.  The clean
-    table is built from the stored raw one.
+    table is built from the stored raw one.  The rows of a source are parsed once and kept: the choice, the stations and
+    the raw table all read them.  Sources after the chosen one are not read.
     """
-    wide = [
-        (name, source_rows(name, landed[name], sites, target_cities, known)) for name in source_order if name in landed
-    ]
+    ensure_checkpoint_dir(sites.sparkSession)
+    wide = (
+        (name, source_rows(name, landed[name], sites, target_cities, known).checkpoint())
+        for name in source_order if name in landed
+    )
     chosen = first_nonempty(wide)
     source = chosen.select("source").first()["source"]
     raw = stored(rd.raw_readings(chosen, sites, [F.col(c) for c in READING_ORDER], threshold_km), f"{folder}/raw", form)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +43,7 @@ def with_schema(df: DataFrame, schema: str) -> DataFrame:
     )
 
 
-def first_nonempty(sources: list[tuple[str, DataFrame]]) -> DataFrame:
+def first_nonempty(sources: Iterable[tuple[str, DataFrame]]) -> DataFrame:
     """The first source with a row wins entirely and is tagged; later ones are not read."""
     for name, df in sources:
         if not df.isEmpty():

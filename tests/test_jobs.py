@@ -156,3 +156,18 @@ def test_evaluation_takes_the_classes_of_the_model(spark, sf_dir):
     assert metrics["accuracy"]["f1"] == pytest.approx(hits)
     shown = {r["label"]: (r["true_rows"], r["predicted_rows"]) for r in tables["distribution"].collect()}
     assert shown == {c: (sum(a == c for a, _ in pairs), sum(b == c for _, b in pairs)) for c in {x for p in pairs for x in p}}
+
+
+def test_a_source_is_read_once(spark, tmp_path):
+    """The choice of the source, its stations and the raw table share one pass over the landed rows."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        read.add(1)
+        return text
+
+    payload = json.dumps({"parameter": "pm25", "value": 5.0, "location": "S", "datetime": "2024-01-01T00:00:00Z", "coordinates": {"latitude": 18.52, "longitude": 73.86}})
+    rows = spark.createDataFrame([(i, "Pune", payload.replace('"S"', f'"S{i}"')) for i in range(6)], "seq long, asked_city string, payload string")
+    landed = {"live": rows.withColumn("payload", F.udf(counted, "string")("payload")), "backfill": backfill_table(spark)}
+    out = jobs.collect_readings(landed, site_table(spark), f"{tmp_path}/once", ["Pune"])
+    assert out.source == "live" and out.raw.count() == 6 and read.value == 6
