@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackplume.functions.numeric import clamp
-from stackplume.operators.learning import stored_matrix
+from stackplume.operators.learning import fit_trees, stored_matrix
 from stackplume.operators.matching import growth_and_urbanisation
 from stackplume.operators.windows import lag_features
 from stackplume.session import ensure_checkpoint_dir
@@ -71,9 +71,10 @@ def train_forecaster(features: DataFrame, rounds: int = 200, depth: int = 5, rat
     ensure_checkpoint_dir(features.sparkSession)
     rows = numbers_filled(features).select(SCORE, *[c for c in [*NUMERIC, *CATEGORICAL] if c != SCORE]).checkpoint()
     encoder = Pipeline(stages=stages).fit(rows)
-    forest = GBTRegressor(
+    boosted = GBTRegressor(
         labelCol=SCORE, featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, checkpointInterval=10
-    ).fit(stored_matrix(encoder.transform(rows), SCORE))
+    )
+    forest = fit_trees(stored_matrix(encoder.transform(rows), SCORE), boosted)
     return PipelineModel(stages=[*encoder.stages, forest])
 
 
