@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from stackplume.operators.aggregates import composite_target, impute_medians, minmax_intensity, quantile_bins, spike_flag
 from stackplume.operators.quantiles import exact_medians, exact_quantiles
@@ -58,3 +59,20 @@ def test_constant_columns(spark):
 def test_target_without_complete_rows(spark):
     df = spark.createDataFrame([(1.0, None, 1.0, 1.0, 1.0, 1.0)], "pm25 double, pm10 double, no2 double, so2 double, co double, o3 double")
     assert composite_target(df).first()["pollution_impact_score"] is None
+
+
+def test_table_medians_read_wide_rows(spark):
+    """Rows are not multiplied by the number of columns; NaN and NULL count for nothing, beyond the small bracket too."""
+    x, rows = F.col("id"), 50_001
+    frame = spark.range(rows).select(
+        x.alias("whole"), F.when(x % 3 == 0, x.cast("double")).alias("gaps"), F.when(x % 5 == 0, F.lit(float("nan"))).otherwise(x / 2).alias("odd"),
+        F.lit(1.0).alias("same"), F.lit(None).cast("double").alias("none"),
+    )
+    found = exact_medians(frame, frame.columns)
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    expected = (
+        float(np.median(np.arange(rows))), float(np.median(np.arange(0, rows, 3))),
+        float(np.median([i / 2 for i in range(rows) if i % 5])), 1.0, None,
+    )
+    assert tuple(found.first()) == expected
+    assert tuple(exact_medians(frame.limit(0), ["gaps", "same"]).first()) == (None, None)
