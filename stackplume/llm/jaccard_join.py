@@ -9,7 +9,8 @@ For the rest the budget is allocated by cost.  A set may skip a segment (worth 0
 look up its subset and everything one deletion away (worth 2); any allocation worth H + 1 finds every partner.  A set
 whose shared subsets are rare looks all of them up, which also counts in how many segments a partner agrees; one with
 frequent subsets takes the cheapest allocation.  Neighbourhoods cost a row for each token of every set of the band, so
-they are indexed in the bands where they save more than that.  Candidates are compared exactly.
+they are indexed in the bands where they save much more than that.  What look-ups meet is dropped at once where sketches
+of the sets differ in more bits than the sets may differ in tokens.  Candidates are compared exactly.
 
 Links are wanted as connected components, so sets that are already connected are never compared: subsets are first
 compared with their neighbours in shuffled orders, which connects large groups of near-copies with few comparisons, and
@@ -44,6 +45,11 @@ ROUNDS = 3
 NEIGHBOURS = 2
 #: Bits of the parities that are compared before whole sets are.
 PARITY_BITS = 1024
+#: Bits of the parities that travel with look-ups, a divisor of ``PARITY_BITS``.
+SKETCH_BITS = 256
+#: Met rows that cost as much as one row of a neighbourhood, which is shuffled and stored several times; a met row is
+#: dropped in the join unless the sketches are near.
+NEAR_ROW = 16
 #: A set with more rows to look up than this share of its tokens asks for neighbourhoods.
 DEAR = 1.0
 
@@ -219,6 +225,11 @@ class Join:
     def large_enough(self, n: str, m: str):
         return F.least(n, m) * 100 >= F.greatest(n, m) * self.percent
 
+    def may_be_alike(self, one: str, other: str, n: str, m: str, bits: int = PARITY_BITS):
+        """Whether parities of two sets of n and m tokens differ in no more bits than the sets may differ in tokens."""
+        differing = sum((F.bit_count(F.get(one, F.lit(k)).bitwiseXOR(F.get(other, F.lit(k)))) for k in range(bits // 64)), F.lit(0))
+        return differing * (100 + self.percent) <= (F.col(n) + F.col(m)) * (100 - self.percent)
+
     def components(self) -> DataFrame:
         """vertex and component of all linked vertices, found again only when links were added."""
         if self.known is None:
@@ -230,8 +241,7 @@ class Join:
         pairs = self.store.keep(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"), f"pairs-{name}")
         # Tokens that differ flip a bit of a set's parities each or cancel out, so parities never differ in more bits.
         a, b = (sets.select(F.col("vertex").alias(side), F.size("tokens").alias(f"n_{side}"), F.col("parities").alias(f"p_{side}")) for side in "ab")
-        differing = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-        near = pairs.join(a, "a").join(b, "b").where(differing * (100 + self.percent) <= (F.col("n_a") + F.col("n_b")) * (100 - self.percent))
+        near = pairs.join(a, "a").join(b, "b").where(self.may_be_alike("p_a", "p_b", "n_a", "n_b"))
         near = self.store.keep(near.select("a", "b"), f"near-{name}")
         a, b = (sets.select(F.col("vertex").alias(side), F.col("tokens").alias(f"of_{side}")) for side in "ab")
         common = F.size(F.array_intersect("of_a", "of_b"))
@@ -297,21 +307,20 @@ class Join:
         alone = self.placed(bare.join(rows.select("node").distinct(), "node", "left_anti"))
         listed = listed.unionByName(alone.select(*NODE, "component", F.array().cast("array<struct<met: long, subset: long>>").alias("costs")))
         plans = self.store.keep(_planned(listed, self.percent), "plans")
-        bands = plans.groupBy("band").agg(
-            F.sum(F.when(F.col("dear"), F.col("cost"))).alias("saved"), F.sum(F.when(F.col("own"), F.col("n"))).alias("price"),
-            F.max("bare").alias("bare"),
-        )
-        near_bands = bands.where("saved > price OR bare").select("band")
+        near_bands = neighbourhood_bands(plans)
         plain = plans.join(near_bands.withColumn("dear", F.lit(True)), ["band", "dear"], "left_anti")
+        sketches = self.store.keep(sets.select("vertex", sketch("parities").alias("sketch")), "sketches")
         probes = self.store.keep(
-            plain.select(*NODE, "component", "all", F.explode("subsets").alias("subset")), "probes"
+            plain.join(sketches, "vertex").select(*NODE, "component", "all", "sketch", F.explode("subsets").alias("subset")), "probes"
+        )
+        index = rows.where("own").join(sketches, "vertex").select(
+            "subset", *(F.col(c).alias(f"{c}_y") for c in ("vertex", "n", "empty", "component", "sketch"))
         )
-        index = rows.where("own").select("subset", *(F.col(c).alias(f"{c}_y") for c in ("vertex", "n", "empty", "component")))
         # Sets that differ in H tokens agree in all but H segments; empty ones leave no row.
         agree = F.col("segments") - F.floor((F.col("n") + F.col("n_y")) * (100 - self.percent) / (100 + self.percent)) - F.least("empty", "empty_y")
         pairs = (
             probes.join(self.store.keep(index, "index"), "subset").where("component <> component_y").where(self.smaller())
-            .where(self.large_enough("n", "n_y")).groupBy("vertex", "vertex_y")
+            .where(self.large_enough("n", "n_y")).where(self.may_be_alike("sketch", "sketch_y", "n", "n_y", SKETCH_BITS)).groupBy("vertex", "vertex_y")
             .agg(F.count(F.lit(1)).alias("agreed"), F.min(F.when(F.col("all"), agree).otherwise(1)).alias("needed")).where("agreed >= needed")
         )
         found = pairs.select(
@@ -419,6 +428,15 @@ def _planned(nodes: DataFrame, percent: int) -> DataFrame:
     return nodes.mapInArrow(computed, f"{_NODE_SCHEMA}, component long, subsets array<long>, all boolean, cost long, dear boolean, bare boolean")
 
 
+def neighbourhood_bands(plans: DataFrame) -> DataFrame:
+    """The bands in which neighbourhoods save more than they cost, or whole subsets cannot be worth enough."""
+    bands = plans.groupBy("band").agg(
+        F.sum(F.when(F.col("dear"), F.col("cost"))).alias("saved"), F.sum(F.when(F.col("own"), F.col("n"))).alias("price"),
+        F.max("bare").alias("bare"),
+    )
+    return bands.where((F.col("saved") > NEAR_ROW * F.col("price")) | F.col("bare")).select("band")
+
+
 def _all_subsets(nodes: DataFrame, percent: int) -> DataFrame:
     """Subsets of all segments of every node, empty ones too, and those with one token deleted."""
     numbers = ["node", "vertex", "n", "component"]
@@ -495,6 +513,18 @@ def parities(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def sketch(column: str):
+    """Parities folded to ``SKETCH_BITS`` bits; a token still flips one of them."""
+    words = SKETCH_BITS // 64
+    folded = []
+    for k in range(words):
+        word = F.get(column, F.lit(k))
+        for j in range(k + words, PARITY_BITS // 64, words):
+            word = word.bitwiseXOR(F.get(column, F.lit(j)))
+        folded.append(word)
+    return F.array(*folded)
+
+
 def linked_sets(vertices: DataFrame, store: Store, size: int, percent: int) -> DataFrame:
     """vertex and component of all vertices that are linked to another one.
 

@@ -134,6 +134,29 @@ def test_allocation_is_worth_what_is_needed_and_the_cheapest():
         assert worth.sum() == needed and worth.max() <= 2
 
 
+def test_neighbourhoods_are_indexed_where_they_save_much(spark):
+    """A row of a neighbourhood costs what many met rows do, since those are dropped in the join."""
+    rows = [(1, 5, 500, True, False), (2, 5, 20_000, True, False), (3, 5, 0, False, True), (4, 5, 20_000, False, False)]
+    plans = spark.createDataFrame([(b, n * 100, cost, dear, bare, True) for b, n, cost, dear, bare in rows], "band long, n long, cost long, dear boolean, bare boolean, own boolean")
+    assert sorted(r.band for r in jaccard_join.neighbourhood_bands(plans).collect()) == [2, 3]
+
+
+def test_sketches_never_differ_in_more_bits_than_the_sets(spark):
+    draw = np.random.default_rng(4)
+    pairs = []
+    for size in [1, 7, 40, 300, 2000]:
+        for _ in range(20):
+            one = draw.integers(0, 1 << 63, size, np.uint64) << np.uint64(1)
+            other = np.concatenate([one[int(draw.integers(0, size)):], draw.integers(0, 1 << 63, int(draw.integers(0, size)), np.uint64)])
+            apart = len(np.setxor1d(one, other))
+            pairs.append((apart, *(jaccard_join.parities(x).view(np.int64).tolist() for x in (one, other))))
+    frame = spark.createDataFrame(pairs, "apart long, a array<long>, b array<long>")
+    bits = frame.select("apart", jaccard_join.sketch("a").alias("a"), jaccard_join.sketch("b").alias("b")).collect()
+    for row in bits:
+        assert len(row.a) * 64 == jaccard_join.SKETCH_BITS
+        assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(row.a, row.b)) <= row.apart
+
+
 def test_pipeline_stage_keeps_one_of_each_class(spark):
     import corpus_pipeline
     from stackplume.llm import simhash
