@@ -9,8 +9,8 @@ For the rest the budget is allocated by cost.  A set may skip a segment (worth 0
 look up its subset and everything one deletion away (worth 2); any allocation worth H + 1 finds every partner.  A set
 whose shared subsets are rare looks all of them up, which also counts in how many segments a partner agrees; one with
 frequent subsets takes the cheapest allocation.  Neighbourhoods cost a row for each token of every set of the band, so
-they are indexed in the bands where they save much more than that.  What look-ups meet is dropped at once where sketches
-of the sets differ in more bits than the sets may differ in tokens.  Candidates are compared exactly.
+they are indexed in the bands where they save much more than that.  What look-ups meet, by neighbourhoods too, is dropped
+at once where sketches of the sets differ in more bits than the sets may differ in tokens.  Candidates are compared exactly.
 
 Links are wanted as connected components, so sets that are already connected are never compared: subsets are first
 compared with their neighbours in shuffled orders, which connects large groups of near-copies with few comparisons, and
@@ -47,6 +47,8 @@ NEIGHBOURS = 2
 PARITY_BITS = 1024
 #: Bits of the parities that travel with look-ups, a divisor of ``PARITY_BITS``.
 SKETCH_BITS = 256
+#: Sets of more tokens may differ in so many that folded parities tell little; their whole parities travel too.
+FOLDED_UP_TO = 512
 #: Met rows that cost as much as one row of a neighbourhood, which is shuffled and stored several times; a met row is
 #: dropped in the join unless the sketches are near.
 NEAR_ROW = 16
@@ -230,6 +232,11 @@ class Join:
         differing = sum((F.bit_count(F.get(one, F.lit(k)).bitwiseXOR(F.get(other, F.lit(k)))) for k in range(bits // 64)), F.lit(0))
         return differing * (100 + self.percent) <= (F.col(n) + F.col(m)) * (100 - self.percent)
 
+    def sketches_near(self):
+        """``may_be_alike`` by what travels with look-ups: folded parities, and whole ones where both sets have them."""
+        folded = self.may_be_alike("sketch", "sketch_y", "n", "n_y", SKETCH_BITS)
+        return folded & F.coalesce(self.may_be_alike("whole", "whole_y", "n", "n_y"), F.lit(True))
+
     def components(self) -> DataFrame:
         """vertex and component of all linked vertices, found again only when links were added."""
         if self.known is None:
@@ -309,18 +316,19 @@ class Join:
         plans = self.store.keep(_planned(listed, self.percent), "plans")
         near_bands = neighbourhood_bands(plans)
         plain = plans.join(near_bands.withColumn("dear", F.lit(True)), ["band", "dear"], "left_anti")
-        sketches = self.store.keep(sets.select("vertex", sketch("parities").alias("sketch")), "sketches")
+        whole = F.when(F.size("tokens") > FOLDED_UP_TO, F.col("parities"))
+        sketches = self.store.keep(sets.select("vertex", sketch("parities").alias("sketch"), whole.alias("whole")), "sketches")
         probes = self.store.keep(
-            plain.join(sketches, "vertex").select(*NODE, "component", "all", "sketch", F.explode("subsets").alias("subset")), "probes"
+            plain.join(sketches, "vertex").select(*NODE, "component", "all", "sketch", "whole", F.explode("subsets").alias("subset")), "probes"
         )
         index = rows.where("own").join(sketches, "vertex").select(
-            "subset", *(F.col(c).alias(f"{c}_y") for c in ("vertex", "n", "empty", "component", "sketch"))
+            "subset", *(F.col(c).alias(f"{c}_y") for c in ("vertex", "n", "empty", "component", "sketch", "whole"))
         )
         # Sets that differ in H tokens agree in all but H segments; empty ones leave no row.
         agree = F.col("segments") - F.floor((F.col("n") + F.col("n_y")) * (100 - self.percent) / (100 + self.percent)) - F.least("empty", "empty_y")
         pairs = (
             probes.join(self.store.keep(index, "index"), "subset").where("component <> component_y").where(self.smaller())
-            .where(self.large_enough("n", "n_y")).where(self.may_be_alike("sketch", "sketch_y", "n", "n_y", SKETCH_BITS)).groupBy("vertex", "vertex_y")
+            .where(self.large_enough("n", "n_y")).where(self.sketches_near()).groupBy("vertex", "vertex_y")
             .agg(F.count(F.lit(1)).alias("agreed"), F.min(F.when(F.col("all"), agree).otherwise(1)).alias("needed")).where("agreed >= needed")
         )
         found = pairs.select(
@@ -358,7 +366,7 @@ class Join:
 
     def near_pairs(self, nodes: DataFrame, sets: DataFrame) -> DataFrame:
         """Candidates (a, b) of the dear nodes among ``nodes``, all of some bands, by subsets and one-deletion neighbourhoods."""
-        looked = self.store.keep(_all_subsets(nodes.join(sets, "vertex"), self.percent), "subsets")
+        looked = self.store.keep(_all_subsets(nodes.join(sets.withColumn("sketch", sketch("parities")), "vertex"), self.percent), "subsets")
         here = looked.groupBy("subset", "component").agg(
             F.count_if(F.expr("NOT deleted AND own")).alias("whole"), F.count_if(F.expr("deleted AND own")).alias("less")
         )
@@ -382,13 +390,13 @@ class Join:
         chosen = self.store.keep(_allocated(listed, self.percent), "chosen")
         probes = (
             looked.join(chosen, ["node", "segment"]).where("NOT deleted OR worth = 2")
-            .select("subset", "vertex", "n", "component", "deleted", "worth")
+            .select("subset", "vertex", "n", "component", "sketch", "deleted", "worth")
         )
-        index = looked.where("own").select("subset", *(F.col(c).alias(f"{c}_y") for c in ("vertex", "n", "component", "deleted")))
+        index = looked.where("own").select("subset", *(F.col(c).alias(f"{c}_y") for c in ("vertex", "n", "component", "sketch", "deleted")))
         return (
             self.store.keep(probes, "near-probes").join(self.store.keep(index, "near-index"), "subset")
             .where("component <> component_y AND NOT (deleted AND deleted_y) AND (worth = 2 OR NOT deleted_y)")
-            .where(self.smaller()).where(self.large_enough("n", "n_y"))
+            .where(self.smaller()).where(self.large_enough("n", "n_y")).where(self.may_be_alike("sketch", "sketch_y", "n", "n_y", SKETCH_BITS))
             .select(F.least("vertex", "vertex_y").alias("a"), F.greatest("vertex", "vertex_y").alias("b")).distinct()
         )
 
@@ -450,17 +458,20 @@ def _all_subsets(nodes: DataFrame, percent: int) -> DataFrame:
                 sums, _, hashes, segment = subset_hashes(tokens, band, percent)
                 left_out = _named(sums[segment] - tokens, segment, band)
                 count = len(hashes) + len(left_out)
+                words = rows.column("sketch")[k].values.to_numpy()
+                sketches = pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * len(words), pa.int32()), pa.array(np.tile(words, count)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(pa.array(np.full(count, rows.column(c)[k].as_py(), np.int64)) for c in numbers),
                         pa.array(np.concatenate([np.arange(len(hashes)), segment])), pa.array(np.concatenate([hashes, left_out])),
                         pa.array(np.arange(count) >= len(hashes)), *(pa.array(np.full(count, rows.column(c)[k].as_py())) for c in ("own", "dear")),
+                        sketches,
                     ],
-                    [*numbers, "segment", "subset", "deleted", "own", "dear"],
+                    [*numbers, "segment", "subset", "deleted", "own", "dear", "sketch"],
                 )
 
-    return nodes.select(*numbers, "band", "own", "dear", "tokens").mapInArrow(
-        computed, "node long, vertex long, n long, component long, segment long, subset long, deleted boolean, own boolean, dear boolean"
+    return nodes.select(*numbers, "band", "own", "dear", "tokens", "sketch").mapInArrow(
+        computed, "node long, vertex long, n long, component long, segment long, subset long, deleted boolean, own boolean, dear boolean, sketch array<long>"
     )
 
 

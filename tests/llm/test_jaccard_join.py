@@ -141,6 +141,32 @@ def test_neighbourhoods_are_indexed_where_they_save_much(spark):
     assert sorted(r.band for r in jaccard_join.neighbourhood_bands(plans).collect()) == [2, 3]
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_look_ups_drop_sets_whose_sketches_are_far(spark, edited, monkeypatch, near):
+    """Folded parities in neighbourhoods as well, and whole ones for large sets, which may differ in more than folded ones tell."""
+    kept, keep, plan = {}, jaccard_join.Store.keep, jaccard_join._planned
+
+    def remembered(store, frame, name):
+        kept[name] = keep(store, frame, name)
+        return kept[name]
+
+    monkeypatch.setattr(jaccard_join.Store, "keep", remembered)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    if near:
+        monkeypatch.setattr(jaccard_join, "DEAR", -1.0)
+        monkeypatch.setattr(jaccard_join, "_planned", lambda nodes, percent: plan(nodes, percent).withColumn("bare", F.lit(True)).withColumn("dear", F.lit(True)))
+    half = " ".join(f"h{i}" for i in range(500))
+    docs = edited if near else [(i, half + "".join(f" u{i}_{k}" for k in range(500))) for i in range(12)] + [(20, half), (21, half + " h500")]
+    assert got(jaccard_join.similar_documents(spark.createDataFrame(docs, SCHEMA))) == brute_force(docs)
+    sets = {r.vertex: (len(r.tokens), r.sketch, r.parities) for r in kept["sets"].withColumn("sketch", jaccard_join.sketch("parities")).collect()}
+    candidates = kept["candidates"].collect()
+    assert candidates
+    for a, b in ((sets[r.a], sets[r.b]) for r in candidates):
+        whole = not near and min(a[0], b[0]) > 512
+        apart = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(*((a[2], b[2]) if whole else (a[1], b[1]))))
+        assert apart <= jaccard_join.may_differ(a[0] + b[0])
+
+
 def test_sketches_never_differ_in_more_bits_than_the_sets(spark):
     draw = np.random.default_rng(4)
     pairs = []
