@@ -22,6 +22,7 @@ Tokens are 64-bit hashes of word n-grams.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ SPARE = 2
 #: Sizes of a band lie within this ratio, in halves.
 BAND_RATIO = 3
 #: Most rounds in which sets are compared with their neighbours in a shuffled order, and comparisons of a set in each.
-#: Rounds end when one adds less than a tenth to the links.
+#: Rounds end when one adds less than a tenth to the links or leaves more than a third of the rows.
 ROUNDS = 3
 NEIGHBOURS = 2
 #: Bits of the parities that are compared before whole sets are.
@@ -52,6 +53,12 @@ FOLDED_UP_TO = 512
 #: Met rows that cost as much as one row of a neighbourhood, which is shuffled and stored several times; a met row is
 #: dropped in the join unless the sketches are near.
 NEAR_ROW = 16
+#: Bits of the map of sets whose texts are wanted again, sent to all tasks; a multiple of 64.
+BITMAP = 1 << 22
+#: Links that are contracted together within a task.
+STARRED = 1 << 18
+#: Where less than one of so many nodes of a band cannot do with whole subsets, only the segments they lack are indexed.
+FEW = 10
 #: A set with more rows to look up than this share of its tokens asks for neighbourhoods.
 DEAR = 1.0
 
@@ -173,14 +180,19 @@ def measured(documents: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _held_in_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of sorted (subset, node) whose subset is not alone; the first and last rows of a range may not be either."""
+    """Distinct rows of sorted (subset, node) whose subset is not alone; the first and last rows of a range may be alone."""
     held = None
     begun = False
     for rows in batches:
         if not rows.num_rows:
             continue
         here = pa.Table.from_batches([held, rows] if held is not None else [rows]).combine_chunks().to_batches()[0]
-        subsets = here.column(0).to_numpy()
+        subsets, nodes = (here.column(c).to_numpy() for c in (0, 1))
+        # Copies of a set are one node.
+        new = np.concatenate([[True], (subsets[1:] != subsets[:-1]) | (nodes[1:] != nodes[:-1])])
+        if not new.all():
+            here = here.filter(pa.array(new, pa.bool_()))
+            subsets = here.column(0).to_numpy()
         equal = subsets[1:] == subsets[:-1]
         keep = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
         if not begun:
@@ -196,18 +208,52 @@ def _held_in_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of consecutive rows of one subset and different components; rows are sorted by subset and place."""
-    held = None
+    """Pairs of one subset and different components: consecutive rows, and every row with the first of its subset.
+
+    Rows are sorted by subset and place; a subset that is dealt to two tasks has a first row in each.
+    """
+    held, first = None, None
     for rows in batches:
         if not rows.num_rows:
             continue
         here = pa.Table.from_batches([held, rows] if held is not None else [rows])
         subset, vertex, n, component = (here[c].to_numpy() for c in ("subset", "vertex", "n", "component"))
-        pair = np.nonzero((subset[1:] == subset[:-1]) & (component[1:] != component[:-1]))[0]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (vertex[pair], vertex[pair + 1], n[pair], n[pair + 1])], ["x", "y", "n_x", "n_y"]
-        )
-        held = rows.slice(rows.num_rows - 1)
+        begins = np.concatenate([[True], subset[1:] != subset[:-1]])
+        start = np.maximum.accumulate(np.where(begins, np.arange(len(subset)), 0))
+        heads = np.stack([vertex[start], n[start], component[start]])
+        if first is not None:
+            heads[:, start == 0] = first[:, None]
+        pair = np.nonzero(~begins[1:] & (component[1:] != component[:-1]))[0]
+        # The row after the first stands beside it; the held row was led before.
+        led = 1 + np.nonzero(~begins[1:] & (heads[2][1:] != component[1:]) & (heads[0][1:] != vertex[:-1]))[0]
+        one, other = np.concatenate([vertex[pair], heads[0][led]]), np.concatenate([vertex[pair + 1], vertex[led]])
+        n_one, n_other = np.concatenate([n[pair], heads[1][led]]), np.concatenate([n[pair + 1], n[led]])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one, other, n_one, n_other)], ["x", "y", "n_x", "n_y"])
+        held, first = rows.slice(rows.num_rows - 1), heads[:, -1]
+
+
+def _stars(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) that connect the same vertices as the given ones: every vertex with its root, for ``most`` edges at a time."""
+    parent: dict[int, int] = {}
+    edges = 0
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def found() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([root(x) for x in list(parent)], pa.int64())], ["a", "b"])
+
+    for rows in batches:
+        for a, b in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+            if edges == most:
+                yield found()
+                parent, edges = {}, 0
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+            edges += 1
+    yield found()
 
 
 #: A node that may have a partner: it agrees in all but ``budget`` segments.
@@ -240,7 +286,10 @@ class Join:
     def components(self) -> DataFrame:
         """vertex and component of all linked vertices, found again only when links were added."""
         if self.known is None:
-            self.known = self.store.keep(connected_components(self.links), f"components-{self.linked}")
+            # A task contracts so many links that its memory is bounded; when all are that few, these are the components.
+            stars = self.links.coalesce(1 + self.linked // STARRED).mapInArrow(partial(_stars, most=STARRED), "a long, b long")
+            found = connected_components(stars) if self.linked >= STARRED else stars.toDF("vertex", "component")
+            self.known = self.store.keep(found, f"components-{self.linked}")
         return self.known
 
     def compare(self, pairs: DataFrame, sets: DataFrame, name: str) -> bool:
@@ -250,10 +299,12 @@ class Join:
         a, b = (sets.select(F.col("vertex").alias(side), F.size("tokens").alias(f"n_{side}"), F.col("parities").alias(f"p_{side}")) for side in "ab")
         near = pairs.join(a, "a").join(b, "b").where(self.may_be_alike("p_a", "p_b", "n_a", "n_b"))
         near = self.store.keep(near.select("a", "b"), f"near-{name}")
-        a, b = (sets.select(F.col("vertex").alias(side), F.col("tokens").alias(f"of_{side}")) for side in "ab")
-        common = F.size(F.array_intersect("of_a", "of_b"))
-        either = F.size("of_a") + F.size("of_b") - common
-        alike = near.join(a, "a").join(b, "b").where(common * 100 >= either * self.percent).select("a", "b")
+        # Only the sets of these pairs are dealt out, two to a pair.
+        sides = near.select("a", "b", F.explode(F.array("a", "b")).alias("vertex")).join(sets.select("vertex", "tokens"), "vertex")
+        both = sides.groupBy("a", "b").agg(F.min_by("tokens", "vertex").alias("one"), F.max_by("tokens", "vertex").alias("other"))
+        common = F.size(F.array_intersect("one", "other"))
+        either = F.size("one") + F.size("other") - common
+        alike = both.where(common * 100 >= either * self.percent).select("a", "b")
         found = self.store.keep(alike, f"links-{name}")
         self.links = found if self.links is None else self.links.unionByName(found)
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
@@ -263,7 +314,8 @@ class Join:
         return added * 10 >= self.linked > 0
 
     def open_rows(self, rows: DataFrame, name: str) -> DataFrame:
-        """The rows (subset and the columns of NODE) of nodes that may have a partner in another component, with their component.
+        """The rows (subset and the columns of NODE) of nodes that may have a partner in another component, with their
+        component and the number of their ``unshared`` segments.
 
         Such a pair has equal subsets in all but ``budget`` segments, empty ones included, so both nodes have as many
         segments that are empty or shared by several components.
@@ -275,21 +327,26 @@ class Join:
         )
         contested = self.store.keep(placed.join(several, "subset", "left_semi"), f"contested-{name}")
         unsettled = self.store.keep(
-            contested.groupBy("node").agg(F.count(F.lit(1)).alias("shared"), *(F.max(c).alias(c) for c in ("segments", "empty", "budget"))).where(OPEN).select("node"),
+            contested.groupBy("node").agg(F.count(F.lit(1)).alias("shared"), *(F.max(c).alias(c) for c in ("segments", "empty", "budget"))).where(OPEN)
+            .select("node", F.expr("segments - empty - shared").alias("unshared")),
             f"unsettled-{name}",
         )
-        return self.store.keep(contested.join(unsettled, "node", "left_semi"), f"open-{name}")
+        return self.store.keep(contested.join(unsettled, "node"), f"open-{name}")
 
     def compare_neighbours(self, rows: DataFrame, sets: DataFrame, turn: int) -> bool:
-        """Compare every vertex with those that most often stand beside it when subsets are shuffled; see ``compare``."""
-        placed = rows.withColumn("place", F.xxhash64(F.lit(turn), "vertex")).repartitionByRange("subset", "place").sortWithinPartitions("subset", "place")
+        """Compare every vertex with those that most often stand beside it or first in a subset; see ``compare``.
+
+        Sets that share most of their segments come first, as they are likest to the others; equals are shuffled.
+        """
+        order = ["subset", "unshared", "place"]
+        placed = rows.withColumn("place", F.xxhash64(F.lit(turn), "vertex")).repartitionByRange(*order).sortWithinPartitions(*order)
         beside = placed.select("subset", "vertex", "n", "component").mapInArrow(_neighbours, "x long, y long, n_x long, n_y long")
         counted = (
             beside.where(self.large_enough("n_x", "n_y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
         )
         both = counted.withColumn("of", F.explode(F.array("a", "b")))
-        # A vertex has two neighbours in each of its segments at most.
+        # The pairs of one vertex; a vertex that is first in many subsets has many, but none that is compared twice.
         best = both.groupBy("of").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "a", "b")), asc=False), 1, NEIGHBOURS).alias("best"))
         return self.compare(best.select(F.explode("best").alias("p")).select("p.a", "p.b").distinct(), sets, f"turn{turn}")
 
@@ -314,8 +371,9 @@ class Join:
         alone = self.placed(bare.join(rows.select("node").distinct(), "node", "left_anti"))
         listed = listed.unionByName(alone.select(*NODE, "component", F.array().cast("array<struct<met: long, subset: long>>").alias("costs")))
         plans = self.store.keep(_planned(listed, self.percent), "plans")
-        near_bands = neighbourhood_bands(plans)
-        plain = plans.join(near_bands.withColumn("dear", F.lit(True)), ["band", "dear"], "left_anti")
+        near_bands = self.store.keep(neighbourhood_bands(plans), "near-bands")
+        near = near_bands.where("NOT few").select("band")
+        plain = plans.join(near.withColumn("dear", F.lit(True)), ["band", "dear"], "left_anti")
         whole = F.when(F.size("tokens") > FOLDED_UP_TO, F.col("parities"))
         sketches = self.store.keep(sets.select("vertex", sketch("parities").alias("sketch"), whole.alias("whole")), "sketches")
         probes = self.store.keep(
@@ -334,20 +392,27 @@ class Join:
         found = pairs.select(
             F.least("vertex", "vertex_y").alias("a"), F.greatest("vertex", "vertex_y").alias("b"), (F.col("agreed") - F.col("needed")).alias("surplus")
         )
-        near = self.store.keep(near_bands, "near-bands")
         if not near.isEmpty():
             found = found.unionByName(self.near_pairs(plans.join(near, "band"), sets).withColumn("surplus", F.lit(0).cast("bigint")))
+        few = near_bands.where("few").select("band")
+        if not few.isEmpty():
+            found = found.unionByName(self.lacking_pairs(plans.join(few, "band"), sets).withColumn("surplus", F.lit(0).cast("bigint")))
         found = self.store.keep(found.groupBy("a", "b").agg(F.max("surplus").alias("surplus")), "candidates")
         # The likeliest candidates of every set first: what they connect needs no comparison any more.
+        found = self.still_apart(found, "first")
+        few = sets.count()
         for turn in range(ROUNDS):
-            found = self.still_apart(found, f"{turn}")
+            if found.count() <= few:
+                break
             best = found.withColumn("of", F.explode(F.array("a", "b"))).groupBy("of").agg(
                 *(F.max(F.struct("surplus", F.xxhash64(F.lit(k), "a", "b"), "a", "b")).alias(f"best{k}") for k in range(NEIGHBOURS))
             )
             best = best.select(F.explode(F.array(*(f"best{k}" for k in range(NEIGHBOURS)))).alias("p")).select("p.a", "p.b").distinct()
-            if not self.compare(best, sets, f"likeliest{turn}"):
+            more = self.compare(best, sets, f"likeliest{turn}")
+            found = self.still_apart(found, f"{turn}")
+            if not more:
                 break
-        self.compare(self.still_apart(found, "last").select("a", "b"), sets, "allocated")
+        self.compare(found.select("a", "b"), sets, "allocated")
 
     def still_apart(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b, surplus) that are neither connected nor compared yet."""
@@ -364,9 +429,35 @@ class Join:
         """A node looks up sets of at most its own size, so every pair is met from one side."""
         return (F.col("n") > F.col("n_y")) | ((F.col("n") == F.col("n_y")) & (F.col("vertex") > F.col("vertex_y")))
 
+    def lacking_pairs(self, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+        """Candidates (a, b) of the few bare nodes among ``nodes``, all of some bands, beyond those that share a subset.
+
+        A bare node's segments with tokens, worth one each, fall short by a few; neighbourhoods of as many segments make up
+        for it, so the other sets of the band need rows in these segments only.
+        """
+        columns = ["node", "vertex", "n", "component", "band", "own", "dear"]
+        bare = self.store.keep(nodes.where("bare").select(*columns), "bare-nodes")
+        tokens = sets.select("vertex", "tokens", sketch("parities").alias("sketch"))
+        asked = bare.join(self.store.keep(_lacking(bare.join(tokens, "vertex"), self.percent), "lacking"), "node")
+        # A band has a bounded number of segments, a few of them are asked for.
+        of_band = asked.select("band", F.explode("within").alias("segment")).groupBy("band").agg(F.collect_set("segment").alias("within"))
+        # Partners are at most as large, and nearly so.
+        sizes = asked.select("band", F.explode(F.sequence(F.expr(f"n * {self.percent} div 100"), F.col("n"))).alias("n")).distinct()
+        met = self.store.keep(nodes.where("own").select(*columns).join(sizes, ["band", "n"]).join(of_band, "band"), "nodes-met")
+        probes = _all_subsets(asked.join(tokens, "vertex"), self.percent).select("subset", "vertex", "n", "component", "sketch", "deleted")
+        index = _all_subsets(met.join(tokens, "vertex"), self.percent).select(
+            "subset", *(F.col(c).alias(f"{c}_y") for c in ("vertex", "n", "component", "sketch", "deleted"))
+        )
+        return (
+            probes.join(index, "subset").where("component <> component_y AND NOT (deleted AND deleted_y)")
+            .where(self.smaller()).where(self.large_enough("n", "n_y")).where(self.may_be_alike("sketch", "sketch_y", "n", "n_y", SKETCH_BITS))
+            .select(F.least("vertex", "vertex_y").alias("a"), F.greatest("vertex", "vertex_y").alias("b")).distinct()
+        )
+
     def near_pairs(self, nodes: DataFrame, sets: DataFrame) -> DataFrame:
         """Candidates (a, b) of the dear nodes among ``nodes``, all of some bands, by subsets and one-deletion neighbourhoods."""
-        looked = self.store.keep(_all_subsets(nodes.join(sets.withColumn("sketch", sketch("parities")), "vertex"), self.percent), "subsets")
+        nodes = nodes.join(sets.withColumn("sketch", sketch("parities")), "vertex").withColumn("within", F.lit(None).cast("array<long>"))
+        looked = self.store.keep(_all_subsets(nodes, self.percent), "subsets")
         here = looked.groupBy("subset", "component").agg(
             F.count_if(F.expr("NOT deleted AND own")).alias("whole"), F.count_if(F.expr("deleted AND own")).alias("less")
         )
@@ -375,10 +466,10 @@ class Join:
             here.groupBy("subset").agg(F.sum("whole").alias("all_whole"), F.sum("less").alias("all_less")).where("all_whole + all_less > 0"),
             "subset-counts",
         )
-        # Rows of other components that each look-up would meet.
-        others = {c: F.coalesce(F.col(f"all_{c}") - F.coalesce(F.col(c), F.lit(0)), F.lit(0)) for c in ("whole", "less")}
+        # Rows of other components that each look-up would meet; one that meets nothing leaves no row.
+        others = {c: F.col(f"all_{c}") - F.coalesce(F.col(c), F.lit(0)) for c in ("whole", "less")}
         cost = (
-            looked.where("dear").join(everywhere, "subset", "left").join(here, ["subset", "component"], "left")
+            looked.where("dear").join(everywhere, "subset").join(here, ["subset", "component"], "left")
             .select(
                 "node", "n", "segment", F.when(F.col("deleted"), 0).otherwise(others["whole"]).alias("first"),
                 F.when(F.col("deleted"), others["whole"]).otherwise(others["less"]).alias("second"),
@@ -437,16 +528,39 @@ def _planned(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def neighbourhood_bands(plans: DataFrame) -> DataFrame:
-    """The bands in which neighbourhoods save more than they cost, or whole subsets cannot be worth enough."""
+    """The bands in which neighbourhoods save more than they cost, or whole subsets cannot be worth enough for some nodes.
+
+    ``few``: neighbourhoods are wanted for a few such nodes only, in a few segments.
+    """
     bands = plans.groupBy("band").agg(
-        F.sum(F.when(F.col("dear"), F.col("cost"))).alias("saved"), F.sum(F.when(F.col("own"), F.col("n"))).alias("price"),
-        F.max("bare").alias("bare"),
+        F.coalesce(F.sum(F.when(F.col("dear"), F.col("cost"))), F.lit(0)).alias("saved"), F.sum(F.when(F.col("own"), F.col("n"))).alias("price"),
+        F.count_if("bare").alias("bare"), F.count(F.lit(1)).alias("nodes"),
     )
-    return bands.where((F.col("saved") > NEAR_ROW * F.col("price")) | F.col("bare")).select("band")
+    saves = F.coalesce(F.col("saved") > NEAR_ROW * F.col("price"), F.lit(False))
+    return bands.where(saves | (F.col("bare") > 0)).select("band", (~saves & (F.col("bare") * FEW <= F.col("nodes"))).alias("few"))
+
+
+def _lacking(nodes: DataFrame, percent: int) -> DataFrame:
+    """node and the segments ``within`` which it needs neighbourhoods, or empty subsets, beside all subsets with tokens.
+
+    Those of most tokens come first: their neighbourhoods are the rarest.
+    """
+
+    def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            within = []
+            for n, band, tokens in zip(rows.column("n").to_pylist(), rows.column("band").to_pylist(), rows.column("tokens")):
+                sizes = subset_hashes(tokens.values.to_numpy().view(np.uint64), band, percent)[1]
+                needed = may_differ(n + min(n, int(_BOUNDS[band + 1]) - 1), percent) + 1
+                # Filled segments are worth one more each by their neighbourhoods, then empty ones by themselves.
+                within.append(np.argsort(-sizes, kind="stable")[: max(0, needed - int((sizes > 0).sum()))])
+            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array(within, pa.list_(pa.int64()))], ["node", "within"])
+
+    return nodes.select("node", "n", "band", "tokens").mapInArrow(computed, "node long, within array<long>")
 
 
 def _all_subsets(nodes: DataFrame, percent: int) -> DataFrame:
-    """Subsets of all segments of every node, empty ones too, and those with one token deleted."""
+    """Subsets of the segments ``within`` (NULL: all) of every node, empty ones too, and those with one token deleted."""
     numbers = ["node", "vertex", "n", "component"]
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,20 +571,25 @@ def _all_subsets(nodes: DataFrame, percent: int) -> DataFrame:
                 band = rows.column("band")[k].as_py()
                 sums, _, hashes, segment = subset_hashes(tokens, band, percent)
                 left_out = _named(sums[segment] - tokens, segment, band)
+                wanted = rows.column("within")[k].as_py()
+                wholes = np.arange(len(hashes)) if wanted is None else np.array(wanted, np.int64)
+                if wanted is not None:
+                    inside = np.isin(segment, wholes)
+                    hashes, left_out, segment = hashes[wholes], left_out[inside], segment[inside]
                 count = len(hashes) + len(left_out)
                 words = rows.column("sketch")[k].values.to_numpy()
                 sketches = pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * len(words), pa.int32()), pa.array(np.tile(words, count)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(pa.array(np.full(count, rows.column(c)[k].as_py(), np.int64)) for c in numbers),
-                        pa.array(np.concatenate([np.arange(len(hashes)), segment])), pa.array(np.concatenate([hashes, left_out])),
+                        pa.array(np.concatenate([wholes, segment])), pa.array(np.concatenate([hashes, left_out])),
                         pa.array(np.arange(count) >= len(hashes)), *(pa.array(np.full(count, rows.column(c)[k].as_py())) for c in ("own", "dear")),
                         sketches,
                     ],
                     [*numbers, "segment", "subset", "deleted", "own", "dear", "sketch"],
                 )
 
-    return nodes.select(*numbers, "band", "own", "dear", "tokens", "sketch").mapInArrow(
+    return nodes.select(*numbers, "band", "own", "dear", "tokens", "sketch", "within").mapInArrow(
         computed, "node long, vertex long, n long, component long, segment long, subset long, deleted boolean, own boolean, dear boolean, sketch array<long>"
     )
 
@@ -489,14 +608,20 @@ def allocate(first: np.ndarray, second: np.ndarray, needed: int) -> np.ndarray:
 
 
 def _allocated(nodes: DataFrame, percent: int) -> DataFrame:
-    """node, segment and worth of the segments that a node looks up for its partners of at most its own size."""
+    """node, segment and worth of the segments that a node looks up for its partners of at most its own size.
+
+    Segments without costs meet nothing, neither does a node without any.
+    """
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for node, n, costs in zip(*(rows.column(c).to_pylist() for c in ("node", "n", "costs"))):
                 band = band_of(n) - (node & 1)
                 needed = may_differ(n + min(n, int(_BOUNDS[band + 1]) - 1), percent) + 1
-                worth = allocate(np.array([c["first"] for c in costs]), np.array([c["second"] for c in costs]), needed)
+                first, second = np.zeros((2, segments_of(band, percent)), np.int64)
+                for c in costs:
+                    first[c["segment"]], second[c["segment"]] = c["first"], c["second"]
+                worth = allocate(first, second, needed)
                 segments = np.nonzero(worth)[0]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(segments), node)), pa.array(segments), pa.array(worth[segments].astype(np.int64))],
@@ -536,12 +661,26 @@ def sketch(column: str):
     return F.array(*folded)
 
 
-def linked_sets(vertices: DataFrame, store: Store, size: int, percent: int) -> DataFrame:
+def vertex_of(salt: int):
+    """A number of 63 bits for a set, equal for its copies; another salt is taken where two sets have the same."""
+    return F.shiftright(F.xxhash64("digest", F.lit(salt)), 1)
+
+
+def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be among the wanted ones: a bitmap of ``BITMAP`` bits at most drops most others before a shuffle."""
+    slot = F.pmod(F.xxhash64(key), F.lit(BITMAP))
+    words = wanted.groupBy(F.shiftright(slot, 6).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), {BITMAP}) % 64 AS int))")).alias("_bits"))
+    held = F.expr(f"shiftrightunsigned(_bits, cast(pmod(xxhash64({key}), {BITMAP}) % 64 AS int)) & 1") == 1
+    return rows.withColumn("_word", F.shiftright(slot, 6)).join(F.broadcast(words), "_word").where(held).drop("_word", "_bits")
+
+
+def linked_sets(documents: DataFrame, classes: DataFrame, store: Store, size: int, percent: int) -> DataFrame:
     """vertex and component of all vertices that are linked to another one.
 
-    ``vertices``: vertex, text, n and parts of distinct sets, see ``measured``.
+    ``documents``: vertex, place, text, n and parts, see ``measured``; equal sets have equal vertices.  ``classes``:
+    every vertex and the place of one of its rows.
     """
-    nodes = vertices.select("vertex", "n", F.explode("parts").alias("p")).select(
+    nodes = documents.select("vertex", "n", F.explode("parts").alias("p")).select(
         F.expr("vertex * 2 + if(p.own, 0, 1)").alias("node"), "vertex", "n", *(f"p.{c}" for c in NODE[3:]), "p.subsets"
     )
     shared = store.keep(
@@ -550,19 +689,21 @@ def linked_sets(vertices: DataFrame, store: Store, size: int, percent: int) -> D
         "shared",
     )
     kept = store.keep(
-        shared.groupBy("node").agg(F.count(F.lit(1)).alias("shared")).join(nodes.select(*NODE), "node").where(OPEN).select(*NODE), "kept"
+        shared.groupBy("node").agg(F.count(F.lit(1)).alias("shared")).join(nodes.select(*NODE), "node").where(OPEN).select(*NODE).distinct(), "kept"
     )
     join = Join(store, percent)
     rows = join.open_rows(store.keep(shared.join(kept, "node"), "rows"), "first")
-    bare = store.keep(nodes.where("empty >= segments - budget").select(*NODE), "bare")
-    wanted = store.keep(rows.select("vertex").unionByName(bare.select("vertex")).distinct(), "wanted")
-    sets = store.keep(_token_sets(vertices.join(wanted, "vertex", "left_semi"), size), "sets")
+    bare = store.keep(nodes.where("empty >= segments - budget").select(*NODE).distinct(), "bare")
+    wanted = rows.select("vertex").unionByName(bare.select("vertex")).distinct()
+    wanted = store.keep(classes.select("vertex", "place").join(wanted, "vertex", "left_semi"), "wanted")
+    sets = store.keep(_token_sets(likely(documents.select("place", "text"), wanted, "place").join(wanted, "place"), size), "sets")
     for turn in range(ROUNDS):
         if rows.isEmpty():
             break
+        before = rows.count()
         more = join.compare_neighbours(rows, sets, turn)
-        rows = join.open_rows(rows.drop("component"), f"{turn}")
-        if not more:
+        rows = join.open_rows(rows.drop("component", "unshared"), f"{turn}")
+        if not more or rows.count() * 3 > before:
             break
     join.compare_allocated(rows, bare, sets)
     return join.components()
@@ -577,12 +718,13 @@ def similar_documents(documents: DataFrame, size: int = SHINGLE, percent: int =
     a NULL doc_id gets a component but never names one; an empty table gives no rows; other columns are ignored.
     """
     store = Store(documents.sparkSession, "jaccard-join")
-    rows = store.keep(measured(documents, size, percent).withColumn("vertex", F.monotonically_increasing_id()), "documents")
-    classes = store.keep(
-        rows.where("n > 0").groupBy("digest").agg(F.min("vertex").alias("vertex"), F.min("doc_id").alias("lowest")), "classes"
-    )
-    firsts = rows.join(classes.select("vertex"), "vertex", "left_semi").where("size(parts) > 0")
-    linked = linked_sets(firsts, store, size, percent)
+    rows = store.keep(measured(documents, size, percent).withColumn("place", F.monotonically_increasing_id()), "documents")
+    digests = store.keep(rows.where("n > 0").groupBy("digest").agg(F.min("place").alias("place"), F.min("doc_id").alias("lowest")), "classes")
+    salt = 0
+    while not digests.groupBy(vertex_of(salt).alias("vertex")).count().where("count > 1").isEmpty():
+        salt += 1
+    classes = digests.withColumn("vertex", vertex_of(salt))
+    linked = linked_sets(rows.where("size(parts) > 0").withColumn("vertex", vertex_of(salt)), classes, store, size, percent)
     member = store.keep(
         classes.join(linked, "vertex", "left").withColumn("component", F.coalesce("component", "vertex")), "members"
     )

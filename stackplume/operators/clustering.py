@@ -24,8 +24,8 @@ _EXTREMES = ("north", "south", "east", "west")
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest vertex of the component for every vertex of ``edges`` (a, b): columns vertex, component.
 
-    Alternates the large-star and small-star steps; the number of rounds grows with the logarithm of the graph, and the
-    edge list is checkpointed every round.
+    Alternates the large-star and small-star steps until every vertex has one parent and no parent has a parent; the
+    number of rounds grows with the logarithm of the graph, and the edge list is checkpointed every round.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     oriented = (
@@ -35,13 +35,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .checkpoint()
     )
     for _ in range(max_rounds):
+        if _all_stars(oriented):
+            break
         both = oriented.unionByName(oriented.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
         large = (
             both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("root").alias("b")).distinct()
         )
         parent = large.groupBy("a").agg(F.min("b").alias("root"))
-        small = (
+        oriented = (
             large.join(parent, "a")
             .where("b <> root")
             .select(F.col("b").alias("a"), F.col("root").alias("b"))
@@ -50,19 +52,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
             .checkpoint()
         )
-        # Finished when every vertex has one parent and no parent has a parent.
-        children = small.select("a").distinct()
-        open_ends = small.join(children.select(F.col("a").alias("b")), "b", "left_semi")
-        oriented = small
-        if open_ends.isEmpty() and small.count() == children.count():
-            break
     else:
-        raise RuntimeError("connected components did not settle")
+        if not _all_stars(oriented):
+            raise RuntimeError("connected components did not settle")
     return oriented.select(F.col("a").alias("vertex"), F.col("b").alias("component")).unionByName(
         oriented.select(F.col("b").alias("vertex"), F.col("b").alias("component")).distinct()
     )
 
 
+def _all_stars(oriented: DataFrame) -> bool:
+    """Whether every vertex of the distinct edges (a, b) has one parent b and no parent has a parent."""
+    ends = oriented.select(F.col("a").alias("vertex"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        oriented.select(F.col("b").alias("vertex"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    return ends.groupBy("vertex").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 AND up > 0").isEmpty()
+
+
 def dense_numbers(keys: DataFrame, key: str, number: str) -> DataFrame:
     """0, 1, 2, ... for distinct keys in key order, without sorting them in one task."""
     ensure_checkpoint_dir(keys.sparkSession)

@@ -183,6 +183,64 @@ def test_sketches_never_differ_in_more_bits_than_the_sets(spark):
         assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(row.a, row.b)) <= row.apart
 
 
+@pytest.mark.parametrize("most", [2, 1 << 18])
+def test_links_are_contracted_by_bounded_tasks(spark, edited, monkeypatch, most):
+    monkeypatch.setattr(jaccard_join, "STARRED", most)
+    assert got(jaccard_join.similar_documents(spark.createDataFrame(edited, SCHEMA).repartition(3))) == brute_force(edited)
+
+
+def test_no_search_for_components_of_few_links(spark, edited, monkeypatch):
+    """Each search was dozens of shuffles, however few the links."""
+    monkeypatch.setattr(jaccard_join, "connected_components", None)
+    assert got(jaccard_join.similar_documents(spark.createDataFrame(edited, SCHEMA))) == brute_force(edited)
+
+
+def test_sets_of_equal_numbers_are_told_apart(spark, edited, monkeypatch):
+    """The first salt gives all sets one number."""
+    number = jaccard_join.vertex_of
+    monkeypatch.setattr(jaccard_join, "vertex_of", lambda salt: number(salt) if salt else F.lit(7).cast("bigint"))
+    assert got(jaccard_join.similar_documents(spark.createDataFrame(edited, SCHEMA))) == brute_force(edited)
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_few_bare_nodes_do_not_index_their_band(spark, monkeypatch, few):
+    """One set whose tokens lie in one segment asks for neighbourhoods in that segment only; the link needs them."""
+    kept, keep = {}, jaccard_join.Store.keep
+
+    def remembered(store, frame, name):
+        kept[name] = keep(store, frame, name)
+        return kept[name]
+
+    monkeypatch.setattr(jaccard_join.Store, "keep", remembered)
+    monkeypatch.setattr(jaccard_join, "FEW", 1 if few else 1 << 30)
+    band = jaccard_join.band_of(7)
+    for start in range(5000):
+        words = [f"q{start}x{i}" for i in range(10)]
+        if len(set(jaccard_join.subset_hashes(jaccard_join.shingles(" ".join(words)), band)[3])) == 1:
+            break
+    docs = [(1, " ".join(words)), (2, " ".join(words[:9]))] + [(3 + i, f"a{i} b c d e f g h i") for i in range(20)]
+    assert (2, 6, 1) in brute_force(docs)
+    assert got(jaccard_join.similar_documents(spark.createDataFrame(docs, SCHEMA))) == brute_force(docs)
+    assert ("subsets" in kept) != few and ("lacking" in kept) == few
+
+
+def test_texts_are_looked_up_by_a_map_of_wanted_ones(spark):
+    rows, wanted = spark.range(20000).selectExpr("id * 8589934592 as place"), spark.range(50).selectExpr("id * 8589934592 * 7 as place")
+    likely = {r.place for r in jaccard_join.likely(rows, wanted, "place").collect()}
+    assert {r.place for r in wanted.collect()} <= likely and len(likely) < 100
+
+
+def test_first_of_a_subset_meets_every_other():
+    import pyarrow as pa
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["subset", "vertex", "n", "component"])
+
+    batches = [batch([(1, 10, 5, 10), (1, 11, 5, 11)]), batch([(1, 12, 5, 12), (1, 13, 5, 10), (2, 14, 5, 14)]), batch([(2, 15, 5, 15)])]
+    pairs = sorted((x, y) for out in jaccard_join._neighbours(iter(batches)) for x, y in zip(out["x"].to_pylist(), out["y"].to_pylist()))
+    assert pairs == [(10, 11), (10, 12), (11, 12), (12, 13), (14, 15)]
+
+
 def test_pipeline_stage_keeps_one_of_each_class(spark):
     import corpus_pipeline
     from stackplume.llm import simhash
