@@ -9,11 +9,12 @@ For the rest the budget is allocated by cost.  A set may skip a segment (worth 0
 look up its subset and everything one deletion away (worth 2); any allocation worth H + 1 finds every partner.  A set
 whose shared subsets are rare looks all of them up, which also counts in how many segments a partner agrees; one with
 frequent subsets takes the cheapest allocation.  Neighbourhoods cost a row for each token of every set of the band, so
-they are indexed in the bands where they save much more than that.  What look-ups meet, by neighbourhoods too, is dropped
+they are indexed in the bands where they save much more than that; where a few sets cannot do without, for want of tokens
+in some segments, only the segments they ask for are indexed.  What look-ups meet, by neighbourhoods too, is dropped
 at once where sketches of the sets differ in more bits than the sets may differ in tokens.  Candidates are compared exactly.
 
 Links are wanted as connected components, so sets that are already connected are never compared: subsets are first
-compared with their neighbours in shuffled orders, which connects large groups of near-copies with few comparisons, and
+compared with their neighbours and the most typical set of each subset, which connects large groups of near-copies with few comparisons, and
 only subsets shared by several components remain for the allocation.  Nothing is capped on the way.
 
 Tokens are 64-bit hashes of word n-grams.
